@@ -49,9 +49,9 @@ URL = re.compile(r"https?://[^\s\"'<>)\]]+", re.I)
 TAG = re.compile(r"(?<!\S)#\w{2,}")
 #: What parts a text into chunks; the second group ends a sentence.
 PARTS = re.compile(r"((?:[,;|•·»/\n\r\t、，]|\s[-–—*]\s)+|[.!?]+(?:\s|$)|[。！？]+)")
-CODE = re.compile(r"[{}()\[\]=_<>]|::|->")
+CODE_MARKS = "{}()[]=_<>"
 PRICE = re.compile(r"(?<![\w.])\d{1,5}[.,]\d\d(?![\w.])")
-CAPITAL = re.compile(r"(?<![^\W\d_])[A-ZÀ-ÞА-ЯΑ-Ω]")
+CAPITAL = re.compile(r"[A-ZÀ-ÞА-ЯΑ-Ω]+")
 ANCHOR = re.compile(r"\[([^\]\n\[]{1,80})\]\(|<a [^<>]{0,300}>([^<]{1,80})</a>")
 FEATURES = (
     "log_words url_share urls_per_word tags_per_word grammar promotion top_word distinct_root bigram_repeats sentence_share "
@@ -65,9 +65,9 @@ class StuffingModel:
     """Parameters; ``sample_rows`` bounds the labelled rows that the trees are fitted to."""
 
     sample_rows: int = 12_000
-    trees: int = 25
+    trees: int = 40
     depth: int = 7
-    leaf: int = 3
+    leaf: int = 4
     seed: int = 7
     verdict_weight: float = 3.0
     host_prior: float = 30.0
@@ -76,77 +76,99 @@ class StuffingModel:
     threshold: float = 0.5
 
 
+def _has_code(chunk: str) -> bool:
+    return not _CODE_SET.isdisjoint(chunk) or "::" in chunk or "->" in chunk
+
+
+_CODE_SET = frozenset(CODE_MARKS)
+_ENDS = frozenset(".!?。！？")
+_WIDE_ENDS = frozenset("。！？")
+
+
 def page_features(text: str) -> tuple[int, list[float]]:
     """Number of words, an address counting as three, and the features in the order of ``FEATURES``."""
     size = max(len(text), 1)
-    urls = URL.findall(text)
+    urls = URL.findall(text) if "://" in text else []
     plain = URL.sub(" ", text) if urls else text
-    is_grammar, is_promotion = GRAMMAR.__contains__, PROMOTION.__contains__
+    is_grammar = GRAMMAR.__contains__
+    find = WORD.findall
     words: list[str] = []
     chunks = short = keyword = promo_chunks = sentences = stuffed = sentence_chars = 0
-    seen: set[tuple[str, ...]] = set()
-    sentence: list[str] = []
-    length = 0
+    seen: set[str] = set()
+    begin = length = 0  # where the sentence begins among the words; its characters
     parts = PARTS.split(plain.lower())
     parts.append("")
     for i in range(0, len(parts) - 1, 2):
         chunk, end = parts[i], parts[i + 1]
-        w = WORD.findall(chunk)
         length += len(chunk) + len(end)
+        w = find(chunk)
         if w:
             chunks += 1
             words += w
-            sentence += w
-            seen.add(tuple(w[:6]))
+            seen.add(chunk.strip())
             if len(w) <= 5:
                 short += 1
-                if GRAMMAR.isdisjoint(w) and not CODE.search(chunk):
+                if GRAMMAR.isdisjoint(w) and not _has_code(chunk):
                     keyword += len(w)
                     promo_chunks += not PROMOTION.isdisjoint(w)
-        if end[:1] in ".!?。！？" and end:
-            n = len(sentence)
+        if not end:
+            continue
+        mark = end[0]
+        if mark in _ENDS:
+            n = len(words) - begin
             if n >= 4:
                 sentences += 1
-                often = Counter(x for x in sentence if len(x) > 2 and x not in GRAMMAR).most_common(1) if n <= 24 else []
-                stuffed += bool(often) and often[0][1] >= 2
-                if sum(map(is_grammar, sentence)) >= 0.1 * n:
-                    sentence_chars += length
-                elif end[0] in "。！？":
+                sentence = words[begin:]
+                if n <= 24:
+                    own = [x for x in sentence if len(x) > 2 and x not in GRAMMAR]
+                    stuffed += len(set(own)) < len(own)
+                if mark in _WIDE_ENDS or sum(map(is_grammar, sentence)) >= 0.1 * n:
                     sentence_chars += length
-            elif end[0] in "。！？" and length > 8:
+            elif length > 8 and mark in _WIDE_ENDS:
                 sentence_chars += length  # a script without blanks
-        if end and (end[0] in ".!?。！？" or "\n" in end):
-            sentence, length = [], 0
+        elif "\n" not in end:
+            continue
+        begin, length = len(words), 0
     n = len(words)
     d = max(n, 1)
     counts = Counter(words)
-    lines = [x.strip() for x in text.splitlines()]
-    lines = [x for x in lines if x]
-    bullets = sum(x[0] in "-*•" or x[:2].rstrip(".").isdigit() or x.startswith("<li") for x in lines)
+    grammar = promotion = digits = foreign = top = 0
+    for w, c in counts.items():
+        if w in GRAMMAR:
+            grammar += c
+        elif c > top and len(w) > 2:
+            top = c
+        if w in PROMOTION:
+            promotion += c
+        if not w.isascii():
+            foreign += c
+        elif w[0] <= "9":
+            digits += c
+    lines = [x for x in map(str.strip, text.splitlines()) if x]
     k = max(chunks, 1)
     row = [
         math.log1p(n),
         sum(map(len, urls)) / size,
         len(urls) / d,
-        len(TAG.findall(plain)) / d,
-        sum(c for w, c in counts.items() if is_grammar(w)) / d,
-        sum(c for w, c in counts.items() if is_promotion(w)) / d,
-        max((c for w, c in counts.items() if len(w) > 2 and not is_grammar(w)), default=0) / d,
+        len(TAG.findall(plain)) / d if "#" in plain else 0.0,
+        grammar / d,
+        promotion / d,
+        top / d,
         len(counts) / math.sqrt(d),
         1 - len(set(zip(words, words[1:]))) / (n - 1) if n > 1 else 0.0,
         sentence_chars / max(len(plain), 1),
         short / k,
         keyword / d,
         min(n / k, 60.0),
-        len(CODE.findall(plain)) / size,
-        sum(c for w, c in counts.items() if w[0].isdigit()) / d,
-        len(PRICE.findall(plain)) / d,
+        (sum(map(plain.count, CODE_MARKS)) + plain.count("::") + plain.count("->")) / size,
+        digits / d,
+        len(PRICE.findall(plain)) / d if digits else 0.0,
         1 - len(set(lines)) / max(len(lines), 1),
-        bullets / max(len(lines), 1),
+        len([x for x in lines if x[0] in "-*•1<" and (x[0] in "-*•" or x[:2] == "1." or x[:3] == "<li")]) / max(len(lines), 1),
         len(CAPITAL.findall(plain)) / d,
-        sum(c for w, c in counts.items() if not w.isascii()) / d,
+        foreign / d,
         1 - len(seen) / k,
-        sum(len(WORD.findall(x or y)) for x, y in ANCHOR.findall(plain)) / d if "](" in plain or "<a " in plain else 0.0,
+        sum(len(find(x or y)) for x, y in ANCHOR.findall(plain)) / d if "](" in plain or "<a " in plain else 0.0,
         promo_chunks / k,
         stuffed / max(sentences, 1),
     ]
