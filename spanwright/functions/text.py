@@ -85,8 +85,12 @@ def changed_lines(diff: Column) -> Column:
     return F.size(F.filter(F.split(diff, "\n"), lambda x: x.rlike(r"^[+-]") & ~x.rlike(r"^(?:\+\+\+|---) ")))
 
 
+#: Fixed value: lines that add a test.
+NEW_TEST = r"^\+\s*(?:def\s+test_\w+|class\s+\w*[Tt]est\w*|func\s+Test\w+|it\s*\(|test\s*\(|describe\s*\()"
+
+
 def new_test_functions(diff: Column) -> Column:
-    return F.size(F.filter(F.split(diff, "\n"), lambda x: x.rlike(r"^\+\s*(?:async\s+)?def\s+test_\w+|^\+\s*func\s+Test\w+|^\+\s*(?:it|test)\s*\(")))
+    return F.size(F.filter(F.split(diff, "\n"), lambda x: x.rlike(NEW_TEST)))
 
 
 def redacted(url: Column) -> Column:

@@ -76,7 +76,7 @@ def q_c26_content_type(spark, sf_dir):
 
 
 def q_m10_coarse_kl(spark, sf_dir):
-    return rounded(A.coarse_reverse_kl(_candidates(spark, sf_dir), coverage=0.6), 6)
+    return rounded(A.coarse_reverse_kl(_candidates(spark, sf_dir), coverage=0.6131), 8)
 
 
 def q_m09_topk_kl(spark, sf_dir):
@@ -151,7 +151,7 @@ SQL = {
     "q_d16_span_sums": f"WITH {_SPANS}, run AS (SELECT ex_id, side, byte_end, sum(lp) OVER (PARTITION BY ex_id, side ORDER BY idx) AS total FROM ends), m AS (SELECT s.ex_id, s.byte_end, s.total AS a, t.total AS b FROM run s JOIN run t ON t.ex_id = s.ex_id AND t.byte_end = s.byte_end WHERE s.side = 'student' AND t.side = 'teacher'), d AS (SELECT ex_id, a - coalesce(lag(a) OVER w, 0) AS s, b - coalesce(lag(b) OVER w, 0) AS t FROM m WINDOW w AS (PARTITION BY ex_id ORDER BY byte_end)) SELECT ex_id, count(*) AS spans, round(CAST(sum(s) AS DOUBLE), 5) AS student, round(CAST(sum(t) AS DOUBLE), 5) AS teacher, round(CAST(sum((s - t) * s) AS DOUBLE), 5) AS loss FROM d GROUP BY 1",
     "q_d14_exact_map": f"WITH {_VOC} SELECT max(token_id) FILTER (side = 'teacher') AS teacher_id, max(token_id) FILTER (side = 'student') AS student_id FROM voc WHERE NOT sp GROUP BY b HAVING count(*) FILTER (side = 'student') = 1 AND count(*) FILTER (side = 'teacher') = 1",
     "q_e26_fingerprint": f"WITH {_VOC} SELECT side, sha256(string_agg(concat(token_id, ':', lower(hex(b))), chr(10) ORDER BY token_id)) AS sha256 FROM voc GROUP BY 1",
-    "q_m10_coarse_kl": f"WITH {_CAND}, g AS (SELECT position, sum(exp(t)) AS listed, coalesce(sum(exp(t)) FILTER (m), 0) AS tm, coalesce(sum(exp(s)) FILTER (m), 0) AS sm, coalesce(sum(exp(s) * (s - t)) FILTER (m), 0) AS k, count(*) FILTER (m) AS n FROM cand GROUP BY 1), o AS (SELECT *, tm / listed AS cov, ln(greatest(1 - tm, 1e-3)) AS ot, CASE WHEN sm >= 1 THEN ln(1e-3) ELSE ln(1 - sm) END AS os FROM g) SELECT position, round(cov, 6) AS coverage, round(CASE WHEN n > 0 AND cov >= 0.6 THEN k + exp(os) * (os - ot) END, 6) AS kl, CASE WHEN n > 0 AND cov >= 0.6 THEN 1 - tm < -1e-3 END AS clamped FROM o",
+    "q_m10_coarse_kl": f"WITH {_CAND}, g AS (SELECT position, sum(exp(t)) AS listed, coalesce(sum(exp(t)) FILTER (m), 0) AS tm, coalesce(sum(exp(s)) FILTER (m), 0) AS sm, coalesce(sum(exp(s) * (s - t)) FILTER (m), 0) AS k, count(*) FILTER (m) AS n FROM cand GROUP BY 1), o AS (SELECT *, tm / listed AS cov, ln(greatest(1 - tm, 1e-3)) AS ot, CASE WHEN sm >= 1 THEN ln(1e-3) ELSE ln(1 - sm) END AS os FROM g) SELECT position, round(cov, 8) AS coverage, round(CASE WHEN n > 0 AND cov >= 0.6131 THEN k + exp(os) * (os - ot) END, 8) AS kl, CASE WHEN n > 0 AND cov >= 0.6131 THEN 1 - tm < -1e-3 END AS clamped FROM o",
     "q_m09_topk_kl": f"WITH {_CAND}, z AS (SELECT position, ln(sum(exp(s))) AS zs, ln(sum(exp(t))) AS zt FROM cand GROUP BY 1) SELECT c.position, round(sum(exp(s - zs) * ((s - zs) - (t - zt))), 6) AS kl FROM cand c JOIN z ON z.position = c.position GROUP BY 1",
     "q_m08_surrogate": f"WITH {_CAND} SELECT position AS ex_id, round(coalesce(avg((s - t) * s) FILTER (m), 0), 6) AS loss, round(coalesce(avg(s - t) FILTER (m), 0), 6) AS mean_log_ratio, count(*) FILTER (m) AS n_tokens FROM cand GROUP BY 1",
     "q_m14_entropy": f"WITH {_CAND} SELECT position, round(-sum(exp(t) * t), 6) AS entropy FROM cand GROUP BY 1",
