@@ -313,7 +313,7 @@ def _posterior(y: np.ndarray, deviance: np.ndarray, outside: np.ndarray, g: np.n
 
     # chance that a normal value repeats its predecessor, by source, day and load; long runs are trimmed
     # so that a stuck sensor does not pass for a constant field
-    cell = g * 4 + (busy + 1)
+    cell = g * 4 + (0 if field == "mem_used_mib" else busy + 1)  # memory is held or moves whatever the load
     run_cell = cell[start]
     size = int(cell.max()) + 1
     repeats = np.bincount(run_cell, np.minimum(length - 1, 3), size)
@@ -324,6 +324,10 @@ def _posterior(y: np.ndarray, deviance: np.ndarray, outside: np.ndarray, g: np.n
     if field == "gpu_util_pct":
         # idle at 0 % and saturation at 100 % are normal wherever the other fields agree with them
         varies &= ~(((y == 0) & (busy <= 0)) | ((y == 100) & (busy != 1) & (busy != 0)))
+    if field == "mem_used_mib":
+        # a level that is held for most of the day is held, however few runs that takes
+        held = np.bincount(run_cell, np.where(length >= model.min_stuck, length, 0), size) / np.maximum(np.bincount(run_cell, length, size), 1)
+        varies &= held[cell] < 0.6
     rho = np.where(varies, rho, 0.5)
 
     d = np.nan_to_num(deviance, nan=0.0)
