@@ -74,11 +74,21 @@ def diff_blocks(diff: Column) -> Column:
     return F.filter(F.split(diff, r"(?m)(?=^diff --git )"), lambda b: b.startswith("diff --git "))
 
 
+def unquoted_path(path: Column) -> Column:
+    """A path without the C-style escapes of its bytes (``na\\303\\257ve`` becomes ``naïve``); as it is if they make no text."""
+    parts = F.regexp_extract_all(path, F.lit(r"\\[0-7]{3}|\\.|[^\\]+"), F.lit(0))
+    byte = lambda p: F.lpad(F.conv(F.substring(p, 2, 3), 8, 16), 2, "0")
+    plain = F.create_map(*(F.lit(x) for pair in ((r"\n", "0A"), (r"\t", "09"), (r"\r", "0D"), (r"\"", "22"), (r"\\", "5C")) for x in pair))
+    one = lambda p: F.when(p.rlike(r"^\\[0-7]{3}$"), byte(p)).when(p.startswith("\\"), F.coalesce(F.try_element_at(plain, p), F.hex(F.substring(p, 2, 1)))).otherwise(F.hex(p))
+    raw = F.unhex(F.array_join(F.transform(parts, one), ""))
+    return F.when(F.contains(path, F.lit("\\")) & F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(path)
+
+
 def diff_path(block: Column, side: str) -> Column:
-    """Path of side ``a`` or ``b`` of a block's header; a quoted path without its quotes."""
+    """Path of side ``a`` or ``b`` of a block's header, without quotes and escapes."""
     header = r'(?m)\Adiff --git (?:"a/((?:[^"\\]|\\.)+)"|a/(.+?)) (?:"b/((?:[^"\\]|\\.)+)"|b/(.+?))$'
     quoted, plain = (1, 2) if side == "a" else (3, 4)
-    return F.coalesce(F.nullif(F.regexp_extract(block, header, quoted), F.lit("")), F.nullif(F.regexp_extract(block, header, plain), F.lit("")))
+    return F.coalesce(unquoted_path(F.nullif(F.regexp_extract(block, header, quoted), F.lit(""))), F.nullif(F.regexp_extract(block, header, plain), F.lit("")))
 
 
 def changed_lines(diff: Column) -> Column:
@@ -106,4 +116,4 @@ def repo_slug(url: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
-    return F.trim(F.lit("-"), F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"))
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-"))

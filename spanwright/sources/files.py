@@ -97,7 +97,7 @@ def newest(rows: DataFrame, key: str, preferred: Column) -> DataFrame:
 
 def git_log(spark: SparkSession, path: str) -> DataFrame:
     """Commits of a recorded log: records end with 0x1e, the seven fields are parted by 0x1f; shorter records drop out."""
-    fields = F.split(F.ltrim(F.lit("\n"), F.col("value")), "\u001f", -1)
+    fields = F.split(F.ltrim(F.col("value"), F.lit("\n")), "\u001f", -1)
     rows = spark.read.option("lineSep", "\u001e").text(path).select(fields.alias("f")).where(F.size("f") >= 7)
     at = lambda i: F.trim(F.col("f")[i])
     return rows.select(
