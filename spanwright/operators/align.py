@@ -27,9 +27,12 @@ def content_type(raw: Column) -> Column:
 
 def byte_ends(tokens: DataFrame) -> DataFrame:
     """Tokens (ex_id, side, idx, token BINARY) with the byte offset at which each ends, and which of several ends there it is."""
-    stream = Window.partitionBy("ex_id", "side")
-    ended = tokens.withColumn("byte_end", F.sum(F.octet_length("token").cast("bigint")).over(stream.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
-    return ended.withColumn("occurrence", F.row_number().over(Window.partitionBy("ex_id", "side", "byte_end").orderBy("idx")))
+    stream = Window.partitionBy("ex_id", "side").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    size = F.octet_length("token").cast("bigint")
+    ended = tokens.withColumns({"byte_end": F.sum(size).over(stream), "zeros": F.sum((size == 0).cast("int")).over(stream), "size": size})
+    # tokens without bytes share their end with the token before; counting them needs no second sort
+    base = F.max(F.when(F.col("size") > 0, F.col("zeros"))).over(stream)
+    return ended.withColumn("occurrence", F.coalesce(F.col("zeros") - base + 1, F.col("zeros")).cast("int")).drop("zeros", "size")
 
 
 def aligned_spans(tokens: DataFrame) -> DataFrame:
