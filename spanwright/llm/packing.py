@@ -29,10 +29,12 @@ from spanwright.runtime import materialize, sorted_groups
 OUT_SCHEMA = "container_id bigint, position int, item_id bigint, part int, start_token bigint, n_tokens bigint, source string"
 
 
-def pack(items: DataFrame, capacity: int = 2048, lane_tokens: int = 8_000_000, lane_items: int = 50_000) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 2048, lane_tokens: int = 8_000_000, lane_items: int = 50_000, target_shares: DataFrame | None = None) -> DataFrame:
     """Containers of ``items`` (item_id BIGINT, source STRING, n_tokens BIGINT), a row per piece in a container.
 
-    ``lane_tokens`` and ``lane_items`` bound what one task packs.
+    ``lane_tokens`` and ``lane_items`` bound what one task packs. ``target_shares`` (source STRING,
+    share DOUBLE) sets the mixture that containers aim at while their sources last; without it, and
+    for sources that it leaves out, a source's share is that of all tokens.
     """
     sized = materialize(items.where(F.col("n_tokens") > 0).select(F.col("item_id").cast("bigint").alias("item_id"), F.col("source").cast("string").alias("source"), F.col("n_tokens").cast("bigint").alias("n_tokens")), "sizes")
     total = sized.agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).first()
@@ -42,6 +44,9 @@ def pack(items: DataFrame, capacity: int = 2048, lane_tokens: int = 8_000_000, l
     by_lane = dealt.groupBy("lane", "source").agg(F.sum("n_tokens").alias("tokens"))
     # shares come from sums over all lanes; sources are joined null-safe
     shares = by_lane.groupBy("source").agg(F.sum("tokens").alias("of_source")).withColumn("share", F.col("of_source") / F.lit(float(total.t or 1)))
+    if target_shares is not None:
+        wanted = target_shares.where(F.col("share") > 0).groupBy(F.col("source").alias("t_source")).agg(F.max("share").alias("t_share"))
+        shares = shares.join(wanted, F.col("source").eqNullSafe(F.col("t_source")), "left").select("source", "of_source", F.coalesce("t_share", "share").alias("share"))
     lane_sums = by_lane.groupBy("lane").agg(F.sum("tokens").alias("of_lane"))
     steps = Window.partitionBy(F.lit(0)).orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     before = lane_sums.withColumn("before", F.coalesce(F.sum("of_lane").over(steps), F.lit(0)))

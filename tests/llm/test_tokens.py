@@ -92,3 +92,15 @@ def test_proportions_hold_early(spark):
 
 def test_packing_nothing(spark):
     assert pack(spark.createDataFrame([], ITEMS)).count() == 0
+
+
+def test_target_shares(spark):
+    """Containers follow the shares asked for until a source runs out, and no item is lost."""
+    items = [(i, "a" if i % 2 else "b", 100 + i % 11, "x") for i in range(3000)]
+    shares = spark.createDataFrame([("a", 0.8), ("b", 0.2), ("unseen", 0.5)], "source string, share double")
+    rows = pack(spark.createDataFrame(items, ITEMS), 2048, target_shares=shares).collect()
+    assert len(rows) == 3000
+    ids = sorted({r.container_id for r in rows})
+    early = [r for r in rows if r.container_id in set(ids[: len(ids) // 3])]
+    share = sum(r.n_tokens for r in early if r.source == "a") / sum(r.n_tokens for r in early)
+    assert abs(share - 0.8) < 0.03
