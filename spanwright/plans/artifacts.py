@@ -257,6 +257,6 @@ SQL = {
     "q_k06_arm_table": f"WITH {_COUNTS} SELECT task, round(max(c / n) FILTER (model = 'student' AND stratum = 'stage1'), 9) AS a0, round(max(c / n) FILTER (model = 'student' AND stratum = 'stage2'), 9) AS a1, round(max(c / n) FILTER (model = 'teacher' AND stratum = 'stage1'), 9) AS a2, round(max(c / n) FILTER (model = 'teacher' AND stratum = 'stage2'), 9) AS a3 FROM counts GROUP BY 1",
     "q_x10_consistent_replay": "SELECT l_orderkey AS run_id, bool_or(l_partkey % 3 <> 0) AS verified, bool_and(l_suppkey % 7 <> 0 OR l_partkey % 3 = 0) AS consistent, min(CASE WHEN l_partkey % 3 <> 0 AND l_suppkey % 7 = 0 THEN l_linenumber END) AS first_fault FROM lineitem GROUP BY 1",
     "q_r02_known_tasks": "SELECT run_id, ordinal FROM traces WHERE task IN (SELECT task FROM segments)",
-    "q_t01_iso_times": r"WITH s AS (SELECT DISTINCT ON (step_key) step_key, trim(step_timestamp) AS b FROM step_views), p AS (SELECT step_key, TRY_CAST(regexp_replace(b, '(?:[Zz]|[+-][0-9]{2}:?[0-9]{2})$', '') AS TIMESTAMP) AS t, regexp_extract(b, 'T.*([+-])([0-9]{2}):?([0-9]{2})$', ['s', 'h', 'm']) AS o FROM s) SELECT step_key, epoch_us(t) - CASE WHEN o.s IN ('+', '-') THEN CASE o.s WHEN '+' THEN 1 ELSE -1 END * (TRY_CAST(o.h AS BIGINT) * 60 + TRY_CAST(o.m AS BIGINT)) * 60000000 ELSE 0 END AS us FROM p",
+    "q_t01_iso_times": r"WITH s AS (SELECT DISTINCT ON (step_key) step_key, trim(step_timestamp) AS b FROM step_views), p AS (SELECT step_key, TRY_CAST(regexp_replace(b, '(?:[Zz]|[+-][0-9]{2}:?[0-9]{2})$', '') AS TIMESTAMP) AS t, regexp_extract(b, '([+-])([0-9]{2}):?([0-9]{2})$', ['s', 'h', 'm']) AS o FROM s) SELECT step_key, epoch_us(t) - CASE WHEN o.s IN ('+', '-') THEN CASE o.s WHEN '+' THEN 1 ELSE -1 END * (TRY_CAST(o.h AS BIGINT) * 60 + TRY_CAST(o.m AS BIGINT)) * 60000000 ELSE 0 END AS us FROM p",
 }
 SQL = {name: oracle(text) for name, text in SQL.items()}

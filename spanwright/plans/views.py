@@ -47,7 +47,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def _needs(text: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"{(\w+)}", text)))
+    return list(dict.fromkeys(re.findall(r"{([a-z]\w*)}", text)))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +69,7 @@ def oracle(query: str) -> str:
                 order.append(n)
 
     add(query)
-    plain = lambda text: re.sub(r"{(\w+)}", r"\1", text)
+    plain = lambda text: re.sub(r"{([a-z]\w*)}", r"\1", text)
     body = plain(query).strip()
     if not order:
         return body
