@@ -133,6 +133,8 @@ class _Curve:
         self.mid = mid + np.arange(101) * 1e-6
         self.full = float(limit) if limit > 0 else float(mid[-1])
         spread = np.interp(grid, at, (q[:, 2] - q[:, 0]) / 1.35)
+        # below idle there is nothing a powered GPU reports, whatever its load
+        self.idle = float(q[0, 1]) if levels[0]["level"] == 0 and levels[0]["n"] >= 20 else np.nan
         self.scale = np.clip(np.maximum(spread, model.power_scale_share * self.full), None, 0.05 * self.full)
         self.inverse: list[tuple[np.ndarray, np.ndarray]] = []
         for name in ("heat", "traffic"):
@@ -201,7 +203,8 @@ def _flag(table: pa.Table, model: SpikeModel) -> pa.Table | None:
             scale = np.interp(at, np.arange(101.0), curve.scale)
             return np.where(np.isnan(load), np.nan, np.maximum(np.maximum(low - p, p - high), 0) / scale)
 
-        deviance["power_w"][s] = np.fmin(power_gap(u_ok, 6.0), power_gap(by_heat, 12.0))
+        below_idle = np.nan_to_num(np.maximum(0.8 * curve.idle - p, 0) / (0.05 * curve.idle))
+        deviance["power_w"][s] = np.fmax(np.fmin(power_gap(u_ok, 6.0), power_gap(by_heat, 12.0)), below_idle)
         load = np.where(np.isnan(u_ok), by_heat, np.where(np.abs(u_ok - by_power) < 20, u_ok, np.where(np.abs(u_ok - by_heat) < np.abs(by_power - by_heat), u_ok, by_power)))
         busy[s] = np.where(np.isnan(load), -1, np.where(load < 8, 0, np.where(load > 96, 2, 1)))
     deviance["mem_used_mib"] = _memory_deviance(v["mem_used_mib"], total, g, t, timed, first, last, model)
@@ -313,7 +316,13 @@ def _posterior(y: np.ndarray, deviance: np.ndarray, outside: np.ndarray, g: np.n
 
     # chance that a normal value repeats its predecessor, by source, day and load; long runs are trimmed
     # so that a stuck sensor does not pass for a constant field
-    cell = g * 4 + (0 if field == "mem_used_mib" else busy + 1)  # memory is held or moves whatever the load
+    # memory is held or moves whatever the load; 0 % and 100 % repeat while idle or saturated, other values hardly do
+    kind_of_load = busy + 1
+    if field == "mem_used_mib":
+        kind_of_load = np.zeros(n, np.int64)
+    elif field == "gpu_util_pct":
+        kind_of_load = np.where((y == 0) & (busy <= 0), 1, np.where((y == 100) & (busy != 0) & (busy != 1), 3, 2))
+    cell = g * 4 + kind_of_load
     run_cell = cell[start]
     size = int(cell.max()) + 1
     repeats = np.bincount(run_cell, np.minimum(length - 1, 3), size)
@@ -322,8 +331,7 @@ def _posterior(y: np.ndarray, deviance: np.ndarray, outside: np.ndarray, g: np.n
     rho = np.clip(chance, 0.01, 1)[cell]
     varies = (rho < 0.34) & (counted[cell] >= 8)
     if field == "gpu_util_pct":
-        # idle at 0 % and saturation at 100 % are normal wherever the other fields agree with them
-        varies &= ~(((y == 0) & (busy <= 0)) | ((y == 100) & (busy != 1) & (busy != 0)))
+        varies &= kind_of_load == 2  # idle at 0 % and saturation at 100 % are normal where the other fields agree
     if field == "mem_used_mib":
         # a level that is held for most of the day is held, however few runs that takes
         held = np.bincount(run_cell, np.where(length >= model.min_stuck, length, 0), size) / np.maximum(np.bincount(run_cell, length, size), 1)
