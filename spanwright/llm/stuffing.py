@@ -55,7 +55,7 @@ CAPITAL = re.compile(r"[A-ZÀ-ÞА-ЯΑ-Ω]+")
 ANCHOR = re.compile(r"\[([^\]\n\[]{1,80})\]\(|<a [^<>]{0,300}>([^<]{1,80})</a>")
 FEATURES = (
     "log_words url_share urls_per_word tags_per_word grammar promotion top_word distinct_root bigram_repeats sentence_share "
-    "short_chunks keyword_chunks words_per_chunk code_marks digits prices line_repeats bullets title_case foreign_letters chunk_repeats anchored_words promo_chunks stuffed_sentences"
+    "short_chunks keyword_chunks words_per_chunk code_marks digits prices line_repeats bullets title_case foreign_letters chunk_repeats anchored_words promo_chunks stuffed_sentences plain_sentences"
 ).split()
 FEATURE_SCHEMA = "doc_id bigint, host string, words bigint, features array<float>"
 
@@ -93,7 +93,7 @@ def page_features(text: str) -> tuple[int, list[float]]:
     is_grammar = GRAMMAR.__contains__
     find = WORD.findall
     words: list[str] = []
-    chunks = short = keyword = promo_chunks = sentences = stuffed = sentence_chars = 0
+    chunks = short = keyword = promo_chunks = sentences = stuffed = sentence_chars = plain_chars = 0
     seen: set[str] = set()
     begin = length = 0  # where the sentence begins among the words; its characters
     parts = PARTS.split(plain.lower())
@@ -119,13 +119,17 @@ def page_features(text: str) -> tuple[int, list[float]]:
             if n >= 4:
                 sentences += 1
                 sentence = words[begin:]
+                repeats = False
                 if n <= 24:
                     own = [x for x in sentence if len(x) > 2 and x not in GRAMMAR]
-                    stuffed += len(set(own)) < len(own)
+                    repeats = len(set(own)) < len(own)
+                    stuffed += repeats
                 if mark in _WIDE_ENDS or sum(map(is_grammar, sentence)) >= 0.1 * n:
                     sentence_chars += length
+                    plain_chars += 0 if repeats else length
             elif length > 8 and mark in _WIDE_ENDS:
                 sentence_chars += length  # a script without blanks
+                plain_chars += length
         elif "\n" not in end:
             continue
         begin, length = len(words), 0
@@ -171,6 +175,7 @@ def page_features(text: str) -> tuple[int, list[float]]:
         sum(len(find(x or y)) for x, y in ANCHOR.findall(plain)) / d if "](" in plain or "<a " in plain else 0.0,
         promo_chunks / k,
         stuffed / max(sentences, 1),
+        plain_chars / max(len(plain), 1),
     ]
     return n + 3 * len(urls), row
 
@@ -190,7 +195,8 @@ def labelling_rules(x: np.ndarray) -> np.ndarray:
         | ((f["log_words"] > 2.8) & (f["grammar"] < 0.03) & (prose < 0.05) & (f["code_marks"] < 0.003) & (f["digits"] < 0.08) & (f["foreign_letters"] < 0.3))
     )
     fine = (
-        ((prose > 0.55) & (f["stuffed_sentences"] < 0.5) & (f["tags_per_word"] < 0.1))
+        (f["plain_sentences"] > 0.5)
+        | ((prose > 0.55) & (f["stuffed_sentences"] < 0.5) & (f["tags_per_word"] < 0.1))
         | ((f["code_marks"] > 0.02) & (f["url_share"] < 0.1) & (f["promotion"] < 0.05))
         | ((f["line_repeats"] > 0.3) & (prose > 0.4) & (f["promotion"] < 0.05))
         | ((f["promotion"] < 0.01) & (f["url_share"] < 0.05) & (f["tags_per_word"] < 0.02) & (f["top_word"] < 0.08) & ((f["grammar"] > 0.05) | (f["code_marks"] > 0.005) | (f["digits"] > 0.08)))
