@@ -137,7 +137,26 @@ def rebuilt_conversations(traces: DataFrame, turns: DataFrame) -> DataFrame:
     """
     listed = traces.where(F.col("run_id").isNotNull()).select("run_id").distinct()
     kept = listed.join(run_status(turns).where("whole").select("run_id"), "run_id", "left_semi")
-    narrow = turns.select(
+    # where each turn stands is found on narrow columns; the texts are exchanged once, by turn
+    facts = (
+        turns.select(
+            "run_id",
+            F.col("turn_id").cast("bigint").alias("turn_id"),
+            F.col("idx").cast("bigint").alias("idx"),
+            (clean_role(F.col("role")) == "tool").alias("is_tool"),
+            "tool_call_id",
+            F.when(F.size("tool_calls") > 0, F.transform("tool_calls", lambda c: c["id"])).alias("calls"),
+        )
+        .join(kept, "run_id", "left_semi")
+        .dropDuplicates(["run_id", "turn_id"])
+    )
+    # idx has no gap in a kept run, so the position needs no window over the run
+    low = facts.groupBy("run_id").agg(F.min("idx").alias("low"))
+    calls = facts.where(F.col("calls").isNotNull()).select("run_id", F.explode("calls").alias("tool_call_id"), F.col("idx").alias("made_at"))
+    answers = facts.where("is_tool").select("run_id", "tool_call_id", "turn_id", "idx")
+    earlier = answers.join(calls, ["run_id", "tool_call_id"]).where(F.col("made_at") < F.col("idx")).groupBy("run_id", "turn_id").agg(F.max("made_at").alias("call_idx"))
+    placed = facts.select("run_id", "turn_id", "idx").join(low, "run_id").join(earlier, ["run_id", "turn_id"], "left").select("run_id", "turn_id", (F.col("idx") - F.col("low")).alias("position"), "call_idx")
+    texts = turns.select(
         "run_id",
         F.col("turn_id").cast("bigint").alias("turn_id"),
         F.col("idx").cast("bigint").alias("idx"),
@@ -147,16 +166,5 @@ def rebuilt_conversations(traces: DataFrame, turns: DataFrame) -> DataFrame:
         "content",
         F.greatest(F.coalesce(F.size("tool_calls"), F.lit(0)), F.lit(0)).alias("n_calls"),
         "tool_call_id",
-        F.when(F.size("tool_calls") > 0, F.transform("tool_calls", lambda c: c["id"])).alias("calls"),
-    )
-    once = narrow.join(kept, "run_id", "left_semi").dropDuplicates(["run_id", "turn_id"])
-    # idx has no gap in a kept run, so the position needs no window over the run
-    low = once.groupBy("run_id").agg(F.min("idx").alias("low"))
-    calls = once.where(F.col("calls").isNotNull()).select("run_id", F.explode("calls").alias("tool_call_id"), F.col("idx").alias("made_at"))
-    answers = once.where(F.col("role") == "tool").select("run_id", "tool_call_id", "idx")
-    earlier = answers.join(calls, ["run_id", "tool_call_id"]).where(F.col("made_at") < F.col("idx")).groupBy("run_id", "idx").agg(F.max("made_at").alias("call_idx"))
-    return (
-        once.join(low, "run_id")
-        .join(earlier, ["run_id", "idx"], "left")
-        .select("run_id", (F.col("idx") - F.col("low")).alias("position"), "idx", "role", "depth", "thinking", "content", "n_calls", "tool_call_id", "call_idx")
-    )
+    ).dropDuplicates(["run_id", "turn_id"])
+    return texts.join(placed, ["run_id", "turn_id"]).select("run_id", "position", "idx", "role", "depth", "thinking", "content", "n_calls", "tool_call_id", "call_idx")
