@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanwright.runtime import materialize
+
 ROLES = ("system", "user", "assistant", "tool")
 BLOCK = 4096  # sequence numbers a block
 # states of the automaton over the turns of depth 0
@@ -136,9 +138,9 @@ def rebuilt_conversations(traces: DataFrame, turns: DataFrame) -> DataFrame:
     (the last earlier one of that id).
     """
     listed = traces.where(F.col("run_id").isNotNull()).select("run_id").distinct()
-    kept = listed.join(run_status(turns).where("whole").select("run_id"), "run_id", "left_semi")
+    kept = materialize(listed.join(run_status(turns).where("whole").select("run_id"), "run_id", "left_semi"), "kept")
     # where each turn stands is found on narrow columns; the texts are exchanged once, by turn
-    facts = (
+    facts = materialize(
         turns.select(
             "run_id",
             F.col("turn_id").cast("bigint").alias("turn_id"),
@@ -148,7 +150,8 @@ def rebuilt_conversations(traces: DataFrame, turns: DataFrame) -> DataFrame:
             F.when(F.size("tool_calls") > 0, F.transform("tool_calls", lambda c: c["id"])).alias("calls"),
         )
         .join(kept, "run_id", "left_semi")
-        .dropDuplicates(["run_id", "turn_id"])
+        .dropDuplicates(["run_id", "turn_id"]),
+        "facts",
     )
     # idx has no gap in a kept run, so the position needs no window over the run
     low = facts.groupBy("run_id").agg(F.min("idx").alias("low"))
