@@ -128,3 +128,10 @@ def test_quoted_diff_paths(spark):
 
 def test_word_count_is_unicode(spark):
     assert value(spark, X.word_count(F.lit("one two_3 é-acute"))) == 4
+
+
+def test_materialized_tables_are_released(spark):
+    from spanwright.runtime import materialize, release
+
+    df = materialize(spark.range(5), "five")
+    assert df.count() == 5 and release(spark) >= 1 and release(spark) == 0
