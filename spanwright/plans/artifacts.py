@@ -239,6 +239,7 @@ SQL = {
     "q_a20_passing_rollouts": "WITH p AS (SELECT task, model, rollout_index FROM {v_rollouts} WHERE passed), l AS (SELECT * FROM p WHERE rollout_index % 5 = 0), r AS (SELECT * FROM p WHERE model = 'teacher' AND task NOT IN (SELECT task FROM l)) SELECT task, count(*) AS n FROM (SELECT * FROM l UNION ALL SELECT * FROM r) GROUP BY 1",
     "q_a21_recorded_prs": "SELECT CAST(o_orderkey AS INT) AS number, strftime(o_orderdate, '%Y-%m-%d') AS merged_at FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'",
     "q_a25_bridge": "SELECT concat('s', p_partkey % 4) AS side, CAST(p_partkey AS INT) AS token_id, p_brand AS text FROM part",
+    "q_a31_cache_keys": """SELECT p_partkey, concat(left(md5(p_name), 12), '-', left(sha256(concat('{"size":', p_size, ',"brand":"', p_brand, '"}')), 8)) AS key FROM part""",
     "q_a33_seeded_subset": "SELECT doc_id FROM documents ORDER BY md5(concat(doc_id, ':5')) LIMIT 50",
     "q_b15_report_round_trip": "SELECT model, task, round(count(*) FILTER (passed) / nullif(count(*) FILTER (rollout_index > 8), 0), 9) AS rate FROM {v_rollouts} GROUP BY 1, 2",
     "q_d06_resolved_tasks": "SELECT DISTINCT task FROM {v_runs} WHERE outcome = 'loss' AND task IS NOT NULL AND task NOT IN (SELECT task FROM segments WHERE task IS NOT NULL)",

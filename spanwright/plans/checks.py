@@ -11,6 +11,7 @@ from spanwright.operators import checks as C
 from spanwright.operators import support as S
 from spanwright.operators import trajectory as T
 from spanwright.operators.mining import is_non_bug
+from spanwright.plans import diagnosis, repositories, tokens
 from spanwright.plans.support import _strata
 from spanwright.plans.views import oracle, rounded, view
 from spanwright.runtime import shared_dir
@@ -221,7 +222,7 @@ def q_m15_mapped_mass(spark, sf_dir):
     from spanwright.plans.tokens import _candidates
 
     rows = _candidates(spark, sf_dir)
-    return rows.groupBy("position").agg(F.bround(F.sum(F.when(F.col("mapped"), F.exp("t_lp")).otherwise(0.0)), 4).alias("mass"), F.count_if("mapped").alias("mapped"), F.count("*").alias("width"))
+    return rows.groupBy("position").agg(F.bround(F.sum(F.when(F.col("mapped"), F.exp("t_lp")).otherwise(0.0)), 7).alias("mass"), F.count_if("mapped").alias("mapped"), F.count("*").alias("width"))
 
 
 def q_m16_kv_capacity(spark, sf_dir):
@@ -364,4 +365,10 @@ SQL = {
     "q_r01_example_source": "SELECT model, CASE WHEN rollout_index % 3 <> 0 THEN 'capture' ELSE 'text' END AS source, count(*) AS n FROM {v_rollouts} WHERE passed GROUP BY 1, 2",
     "q_r13_any_sample": "SELECT model, task, bool_or(passed) AS \"any\", bool_and(passed) AS \"all\" FROM {v_rollouts} WHERE passed IS NOT NULL GROUP BY 1, 2",
 }
+_EVIDENCE = "SELECT capability_id, left(array_to_string(list_sort(list(DISTINCT concat('note ', substr(md5(run_id), 1, 1)))), ' '), 800) AS summary FROM {v_labels} WHERE label = 'LACKING' GROUP BY 1"
+SQL |= {
+    "q_b04_deficit_report": f"{diagnosis.RAW_SCORES} SELECT s.capability_id, round(gap, 9) AS gap, e.summary FROM scored s LEFT JOIN ({_EVIDENCE}) e ON e.capability_id = s.capability_id",
+    "q_m15_mapped_mass": f"WITH {tokens._CAND} SELECT position, round_even(coalesce(sum(exp(t)) FILTER (m), 0), 7) AS mass, count(*) FILTER (m) AS mapped, count(*) AS width FROM cand GROUP BY 1",
+    "q_g07_capped_tests": f"WITH {repositories._LINES}, {repositories._pytest('lines', 'st')}, l AS (SELECT log_id, list_sort(list(test)) AS t FROM st WHERE status = 'PASSED' GROUP BY 1) SELECT log_id, CAST(len(t) AS INT) AS n, array_to_string(t[1:3], ',') AS first FROM l",
+}
 SQL = {name: oracle(text) for name, text in SQL.items()}

@@ -97,6 +97,8 @@ t AS (SELECT capability_id, count(*) FILTER (fl = 'PRESENT' AND cl <> 'PRESENT')
 tested AS (SELECT *, b + c AS discordant_n, CASE WHEN b + c > 0 THEN least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1),
   lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2.0))))) END AS p_value FROM t)"""
 
+RAW_SCORES = f"WITH {_scores(_CROSS)}"
+
 QUERIES = {f.__name__: f for f in (q_a02_listed_runs, q_d01_paired_gap, q_c01_contrast, q_e01_deficit_scores, q_c02_within_model_scores, q_c03_selected_deficit, q_d02_mcnemar, q_k04_replay_diagnosis, q_d29_label_confusion, q_d29_label_accuracy, q_b03_gap_advisories)}
 SQL = {
     "q_a02_listed_runs": "SELECT run_id, task, model, outcome, ordinal FROM {v_runs}",

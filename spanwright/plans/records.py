@@ -242,7 +242,16 @@ _IDS = "g AS (SELECT l_orderkey, list(CAST(l_partkey % 3 AS INT) ORDER BY l_line
 
 QUERIES = {name: f for name, f in dict(globals()).items() if name.startswith("q_")}
 SQL = {
-    "q_e17_planted_ceiling": "SELECT * FROM (VALUES ('3w/3l@1.0', NULL, false, 'top_ranked_but_below_threshold'), ('3w/3l@0.6', NULL, false, 'top_ranked_but_below_threshold'), ('3w/3l@0.3', NULL, false, 'top_ranked_but_below_threshold'), ('6w/6l@1.0', 'error_adaptation', true, 'recovered'), ('6w/6l@0.6', 'error_adaptation', true, 'recovered'), ('12w/12l@1.0', 'error_adaptation', true, 'recovered'), ('12w/12l@0.6', 'error_adaptation', true, 'recovered'), ('12w/12l@0.3', 'error_adaptation', true, 'recovered')) AS t(config, selected, recovered, verdict)",
+    "q_e17_planted_ceiling": """WITH c AS (SELECT concat(n, 'w/', n, 'l@', p) AS config, n, CAST(p AS DOUBLE) AS p FROM (SELECT unnest([3, 6, 12]) AS n) CROSS JOIN (SELECT unnest(['1.0', '0.6', '0.3']) AS p)),
+z AS (SELECT config, n, least(n - 1, CAST(round_even(n * 0.3, 0) AS INT)) AS nc, CAST(round_even(p * n, 0) AS INT) AS np FROM c),
+r AS (SELECT config, CASE WHEN i < nc THEN 'win_clean' ELSE 'win_recovering' END AS kind FROM (SELECT *, unnest(range(0, n)) AS i FROM z) UNION ALL SELECT config, CASE WHEN i < np THEN 'loss_planted' ELSE concat('loss_', ['stops_to_ask', 'wrong_output_shape', 'drops_second_requirement'][CAST((i - np) % 3 AS INT) + 1]) END FROM (SELECT *, unnest(range(0, n)) AS i FROM z)),
+caps AS (SELECT * FROM (VALUES (0, 'error_adaptation'), (1, 'proceeds_without_confirmation'), (2, 'follows_output_format'), (3, 'completes_all_requirements')) AS t(o, cap)),
+l AS (SELECT config, kind, starts_with(kind, 'win') AS w, o, cap, CASE o WHEN 0 THEN CASE kind WHEN 'win_recovering' THEN 'PRESENT' WHEN 'loss_planted' THEN 'LACKING' ELSE 'NA' END WHEN 1 THEN CASE kind WHEN 'loss_stops_to_ask' THEN 'LACKING' ELSE 'PRESENT' END WHEN 2 THEN CASE kind WHEN 'loss_wrong_output_shape' THEN 'LACKING' ELSE 'NA' END ELSE CASE kind WHEN 'loss_drops_second_requirement' THEN 'LACKING' ELSE 'NA' END END AS label FROM r CROSS JOIN caps),
+s AS (SELECT config, o, cap, count(*) FILTER (label <> 'NA' AND w) AS rw, count(*) FILTER (label <> 'NA' AND NOT w) AS rl, count(*) FILTER (label = 'LACKING' AND w) AS lw, count(*) FILTER (label = 'LACKING' AND NOT w) AS ll, count(*) FILTER (NOT w) AS losses FROM l GROUP BY 1, 2, 3),
+g AS (SELECT *, ll / nullif(rl, 0) - lw / nullif(rw, 0) AS gap, coalesce(ll / nullif(rl, 0) - lw / nullif(rw, 0), 0) * (ll / losses) AS priority FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY config ORDER BY priority DESC, o) - 1 AS rank, coalesce(gap >= 0.2 AND least(rw, rl) >= 3, false) AS fits FROM g),
+f AS (SELECT config, arg_min(cap, rank) FILTER (fits) AS selected, max(rank) FILTER (o = 0) AS pr FROM k GROUP BY 1)
+SELECT config, selected, coalesce(selected = 'error_adaptation', false) AS recovered, CASE WHEN selected = 'error_adaptation' THEN 'recovered' WHEN pr = 0 THEN 'top_ranked_but_below_threshold' ELSE 'outranked_by_distractor' END AS verdict FROM f""",
     "q_a35_planted_kinds": """WITH c AS (SELECT s_suppkey AS config, 2 + s_suppkey % 9 AS w, 1 + s_suppkey % 7 AS l, s_suppkey % 4 / 4 AS p FROM supplier), z AS (SELECT *, least(w - 1, CAST(round_even(w * 0.3, 0) AS INT)) AS nc, CAST(round_even(p * l, 0) AS INT) AS np FROM c),
 r AS (SELECT config, CASE WHEN i < nc THEN 'win_clean' ELSE 'win_recovering' END AS kind FROM (SELECT *, unnest(range(0, w)) AS i FROM z) UNION ALL SELECT config, CASE WHEN i < np THEN 'loss_planted' ELSE concat('loss_', ['stops_to_ask', 'wrong_output_shape', 'drops_second_requirement'][CAST((i - np) % 3 AS INT) + 1]) END FROM (SELECT *, unnest(range(0, l)) AS i FROM z))
 SELECT config, kind, count(*) AS n FROM r GROUP BY 1, 2""",
@@ -278,5 +287,4 @@ SELECT config, kind, count(*) AS n FROM r GROUP BY 1, 2""",
     "q_e24_ratio_summary": "WITH r AS (SELECT doc_id, strlen(text) / length(text) AS r FROM documents WHERE length(text) > 0) SELECT round(min(r), 9) AS least, round(median(r), 9) AS median, round(max(r), 9) AS most, count(*) FILTER (r > 1.5) AS over, (SELECT doc_id FROM r ORDER BY r DESC, doc_id DESC LIMIT 1) AS argmax FROM r",
     "q_e29_strict_accuracy": "WITH s AS (SELECT DISTINCT ON (step_key) * FROM step_views) SELECT source, round(avg(CAST(trim(coalesce(observation_text, '')) <> '' AS INT)), 9) AS accuracy FROM s GROUP BY 1",
 }
-del SQL["q_e17_planted_ceiling"]  # its table is given by the corpora alone; tests hold it against the published ceilings
 SQL = {name: oracle(text) for name, text in SQL.items()}

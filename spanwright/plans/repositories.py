@@ -213,6 +213,7 @@ SQL = {
     "q_s11_go_status": "SELECT user_id AS log_id, concat('TestU/case_', event_id % 10) AS test, arg_max(CASE event_type WHEN 'view' THEN 'PASSED' WHEN 'signup' THEN 'PASSED' WHEN 'click' THEN 'FAILED' ELSE 'SKIPPED' END, event_id) AS status FROM events WHERE event_type <> 'error' GROUP BY 1, 2",
     "q_s12_cargo_status": "SELECT user_id AS log_id, concat('mod::case_', event_id % 10) AS test, arg_max(CASE event_type WHEN 'view' THEN 'PASSED' WHEN 'signup' THEN 'PASSED' WHEN 'click' THEN 'FAILED' ELSE 'SKIPPED' END, event_id) AS status FROM events WHERE event_type <> 'error' GROUP BY 1, 2",
     "q_f09_jest_status": "WITH e AS (SELECT *, count(*) FILTER (event_type = 'error') OVER w AS sec, last_value(CASE WHEN event_type = 'error' THEN concat('src/f', event_id % 3, '.test.ts') END IGNORE NULLS) OVER w AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), h AS (SELECT *, last_value(CASE WHEN event_type = 'signup' AND f IS NOT NULL THEN concat('block ', event_id % 10) END IGNORE NULLS) OVER (PARTITION BY user_id, sec ORDER BY event_id) AS b FROM e) SELECT user_id AS log_id, concat_ws(' > ', f, b, concat('case ', event_id % 10)) AS test, arg_max(CASE event_type WHEN 'view' THEN 'PASSED' WHEN 'click' THEN 'FAILED' ELSE 'SKIPPED' END, event_id) AS status FROM h WHERE event_type IN ('view', 'click', 'purchase') GROUP BY 1, 2",
+    "q_s13_runner": r"SELECT kind, count(*) FILTER (NOT regexp_matches(text, '(?m)^\s*--- (?:PASS|FAIL|SKIP): ') AND NOT regexp_matches(text, '(?m)^test \S+ \.\.\. (?:ok|FAILED|ignored)') AND NOT regexp_matches(text, '(?m)^(?:PASS|FAIL)\s+\S+\.(?:ts|tsx|js|jsx|mjs|cjs)') AND regexp_matches(text, '(?m)::\S+\s+(?:PASSED|FAILED|SKIPPED|ERROR)|^(?:PASSED|FAILED|SKIPPED|ERROR) ')) AS pytest, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "q_d19_transitions": f"WITH {_HALF} SELECT * FROM trans WHERE kind IS NOT NULL",
     "q_d20_grade": f"WITH {_HALF}, {_pytest('lines', 'st')}, d AS (SELECT * FROM trans WHERE kind IS NOT NULL), j AS (SELECT coalesce(d.log_id, st.log_id) AS log_id, kind, status, coalesce(status = 'PASSED', false) AS ok FROM d FULL JOIN st ON st.log_id = d.log_id AND st.test = d.test), g AS (SELECT log_id, count(*) FILTER (kind = 'fail_to_pass') AS f2p_total, count(*) FILTER (kind = 'fail_to_pass' AND ok) AS f2p_passed, count(*) FILTER (kind = 'pass_to_pass') AS p2p_total, count(*) FILTER (kind = 'pass_to_pass' AND ok) AS p2p_passed, count(*) FILTER (kind IS NULL AND status = 'FAILED') AS untracked FROM j GROUP BY 1), r AS (SELECT *, coalesce(f2p_passed / nullif(f2p_total, 0), 0) AS a, coalesce(p2p_passed / nullif(p2p_total, 0), 1) AS b FROM g) SELECT log_id, f2p_total, f2p_passed, p2p_total, p2p_passed, untracked, round_even(a, 6) AS f2p_rate, round_even(b, 6) AS p2p_rate, round_even(a * b, 6) AS reward, f2p_total > 0 AND f2p_passed = f2p_total AND p2p_passed = p2p_total AS resolved FROM r",
     "q_s02_word_count": r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[a-z]+')) AS INT) AS lower_words, CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^[+-]') AND NOT regexp_matches(x, '^(?:\+\+\+|---) '))) AS INT) AS changed FROM documents WHERE text IS NOT NULL",
