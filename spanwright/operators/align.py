@@ -25,10 +25,15 @@ def content_type(raw: Column) -> Column:
     )
 
 
+def _slim(tokens: DataFrame, *keep: str) -> DataFrame:
+    """Tokens by the sizes of their bytes, so that an exchange moves no bytes."""
+    return tokens.select("ex_id", "side", "idx", F.octet_length("token").cast("bigint").alias("size"), *keep).repartition("ex_id")
+
+
 def byte_ends(tokens: DataFrame) -> DataFrame:
     """Tokens (ex_id, side, idx, token BINARY) with the byte offset at which each ends, and which of several ends there it is."""
     stream = Window.partitionBy("ex_id", "side").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    size = F.octet_length("token").cast("bigint")
+    size = F.col("size") if "size" in tokens.columns else F.octet_length("token").cast("bigint")
     ended = tokens.withColumns({"byte_end": F.sum(size).over(stream), "zeros": F.sum((size == 0).cast("int")).over(stream), "size": size})
     # tokens without bytes share their end with the token before; counting them needs no second sort
     base = F.max(F.when(F.col("size") > 0, F.col("zeros"))).over(stream)
@@ -42,7 +47,7 @@ def aligned_spans(tokens: DataFrame) -> DataFrame:
     occurrence number, so it is an equi-join; here a grouping, which needs no second copy of the
     tokens. All steps share one exchange by ``ex_id``.
     """
-    ends = byte_ends(tokens.repartition("ex_id"))
+    ends = byte_ends(_slim(tokens))
     of = lambda side: F.max(F.when(F.col("side") == side, F.col("idx")))
     met = ends.groupBy("ex_id", "byte_end", "occurrence").agg(of("student").alias("s_last"), of("teacher").alias("t_last")).where(F.col("s_last").isNotNull() & F.col("t_last").isNotNull())
     order = Window.partitionBy("ex_id").orderBy("s_last")
@@ -98,7 +103,7 @@ def span_kinds(tokens: DataFrame) -> DataFrame:
 def span_sums(tokens: DataFrame) -> DataFrame:
     """Sums of both sides' log probabilities over each span: tokens find their span by running sums, without a range join."""
     running = lambda c: F.sum(c).over(Window.partitionBy("ex_id", "side").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
-    ends = byte_ends(tokens.repartition("ex_id")).withColumn("total", running("logprob"))
+    ends = byte_ends(_slim(tokens, "logprob")).withColumn("total", running("logprob"))
     of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
     met = ends.groupBy("ex_id", "byte_end", "occurrence").agg(of("student", "idx").alias("s_last"), of("teacher", "idx").alias("t_last"), of("student", "total").alias("s_total"), of("teacher", "total").alias("t_total"))
     order = Window.partitionBy("ex_id").orderBy("s_last")
