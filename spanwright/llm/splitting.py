@@ -162,8 +162,12 @@ class _Cutter:
         return (self.segment, self.piece, self.start, self.end, self.end - self.start, "end")
 
 
-def piece_offsets(tables: DataFrame, limit: int = 2048, overlap: int = 128, whole_items: bool = False) -> DataFrame:
-    """Pieces by token offsets (see ``PIECE_SCHEMA``) of the items beyond ``limit``, or of all with ``whole_items``."""
+def piece_offsets(tables: DataFrame, limit: int = 2048, overlap: int = 128, whole_items: bool = False, clustered: bool = False) -> DataFrame:
+    """Pieces by token offsets (see ``PIECE_SCHEMA``) of the items beyond ``limit``, or of all with ``whole_items``.
+
+    ``clustered`` says that ``tables`` come straight from ``boundary_tables``, whose window has brought each
+    item's rows together, so that they need no further exchange.
+    """
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be less than half the limit")
 
@@ -196,8 +200,8 @@ def piece_offsets(tables: DataFrame, limit: int = 2048, overlap: int = 128, whol
         if rows:
             yield table()
 
-    # the tables come partitioned and sorted by their window; naming the order keeps it explicit and costs no exchange
-    ordered = tables.repartition("segment_id").sortWithinPartitions("segment_id", "msg", "part").select("segment_id", "offset", "n_tokens", "at", "kind")
+    together = tables if clustered else tables.repartition("segment_id")
+    ordered = together.sortWithinPartitions("segment_id", "msg", "part").select("segment_id", "offset", "n_tokens", "at", "kind")
     return ordered.mapInArrow(work, PIECE_SCHEMA)
 
 
@@ -245,4 +249,4 @@ def emit_pieces(segments: DataFrame, tables: DataFrame, pieces: DataFrame, range
 
 def oversized_segments(segments: DataFrame, limit: int = 2048, overlap: int = 128) -> DataFrame:
     """The pieces, by offset, of all segments beyond ``limit`` tokens."""
-    return piece_offsets(boundary_tables(segments), limit, overlap)
+    return piece_offsets(boundary_tables(segments), limit, overlap, clustered=True)
