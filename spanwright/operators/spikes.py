@@ -286,6 +286,11 @@ def _memory_deviance(y: np.ndarray, total: np.ndarray, g: np.ndarray, t: np.ndar
     # a serve that starts by loading its model climbs in strict steps
     loading = (from_start < 12) & (rising == rising[start_at]) & climbing & (v > 0)
     off = np.where(loading, 0.0, off)
+    # a serve that ends within its climb has nothing after it to compare with: its own range holds
+    ends_early = np.isnan(after) & (from_start > 0) & (from_start < 12)
+    least, most = np.nanmin(np.where(ends_early[:, None], back, 0.0), axis=1), np.nanmax(np.where(ends_early[:, None], back, 0.0), axis=1)
+    within = np.where(v < least, least - v, np.where(v > most, v - most, 0.0))
+    off = np.where(ends_early, np.where(rising == rising[start_at], 0.0, within), off)
     centre = _median_rows(np.concatenate([back, ahead], axis=1))
     residual = np.abs(v - centre)
     scale = np.zeros(n)
