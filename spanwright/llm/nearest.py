@@ -15,31 +15,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwright.functions.telemetry import sample_micros, spread_over_ranges
+from spanwright.functions.telemetry import iso_micros, sample_micros, spread_over_ranges
 
 OUT_SCHEMA = "left_id bigint, side int, right_id bigint, left_us bigint, right_us bigint"
 
 
-def iso_micros(text: Column) -> Column:
-    """Epoch microseconds of an ISO-8601 date and time in its usual renderings; null where unreadable.
-
-    ``T`` or a blank between date and time, any number of digits of a second, ``Z``, an offset with or
-    without a colon, or none (UTC), and padding.
-    """
-    shape = r"^\s*(\d{4}-?\d{2}-?\d{2})[Tt ]\s*(\d{2}:?\d{2}(?::?\d{2})?)(?:[.,](\d+))?\s*(?:([Zz]|UTC|GMT)|([+-]\d{2}):?(\d{2})?)?\s*$"
-    part = lambda k: F.regexp_extract(text, shape, k)
-    day = F.regexp_replace(part(1), r"^(\d{4})-?(\d{2})-?(\d{2})$", "$1-$2-$3")
-    clock = F.regexp_replace(part(2), ":", "")
-    clock = F.concat(F.substring(clock, 1, 2), F.lit(":"), F.substring(clock, 3, 2), F.lit(":"), F.when(F.length(clock) > 4, F.substring(clock, 5, 2)).otherwise(F.lit("00")))
-    fraction = F.rpad(F.substring(part(3), 1, 6), 6, "0").cast("bigint")
-    zone = F.when(part(5) != "", F.concat(part(5), F.lit(":"), F.when(part(6) != "", part(6)).otherwise(F.lit("00")))).otherwise(F.lit("+00:00"))
-    stamp = F.try_to_timestamp(F.concat(day, F.lit("T"), clock, zone))
-    return F.when(text.rlike(shape), F.unix_micros(stamp) + F.coalesce(fraction, F.lit(0)))
-
-
 def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_us: int, range_us: int = 6 * 3_600_000_000) -> DataFrame:
     """Partners of ``left`` (entity STRING, left_id BIGINT, us BIGINT) among ``right`` (entity, side INT, right_id, us).
 

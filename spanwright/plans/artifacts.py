@@ -8,6 +8,7 @@ from urllib.parse import urlparse
 from pyspark.sql import functions as F
 
 from spanwright.functions import text as X
+from spanwright.functions.telemetry import iso_micros
 from spanwright.operators import artifacts as A
 from spanwright.operators import support as S
 from spanwright.operators import telemetry as M
@@ -222,9 +223,7 @@ def q_r04_datum(spark, sf_dir):
 
 def q_t01_iso_times(spark, sf_dir):
     """Instants of step timestamps; one without an offset is UTC."""
-    bare = F.trim("step_timestamp")
-    zoned = F.when(bare.rlike(r"(?:[Zz]|[+-]\d{2}:?\d{2})$"), bare).otherwise(F.concat(bare, F.lit("Z")))
-    return view(spark, sf_dir, "step_views").dropDuplicates(["step_key"]).select("step_key", F.unix_micros(F.try_to_timestamp(zoned)).alias("us"))
+    return view(spark, sf_dir, "step_views").dropDuplicates(["step_key"]).select("step_key", iso_micros(F.col("step_timestamp")).alias("us"))
 
 
 QUERIES = {name: f for name, f in dict(globals()).items() if name.startswith("q_")}

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanwright.functions.telemetry import iso_micros
 from spanwright.operators import telemetry as T
 from spanwright.plans.views import oracle, rounded, view
 
 
 def _steps(spark, sf_dir):
-    """Steps whose timestamp is written with ``Z``, each once, with their time."""
-    steps = view(spark, sf_dir, "step_views").dropDuplicates(["step_key"])
-    us = F.when(F.trim("step_timestamp").endswith("Z"), F.unix_micros(F.try_to_timestamp(F.trim("step_timestamp"))))
-    return steps.withColumn("us", us)
+    """Steps, each once, with their time; null where the timestamp is missing or unreadable."""
+    return view(spark, sf_dir, "step_views").dropDuplicates(["step_key"]).withColumn("us", iso_micros(F.col("step_timestamp")))
 
 
 def q_a13_gpu_frame(spark, sf_dir):
