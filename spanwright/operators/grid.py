@@ -26,7 +26,7 @@ from spanwright.functions.telemetry import sample_micros
 from spanwright.runtime import materialize, sorted_groups
 
 FIELDS = ("gpu_util_pct", "mem_used_mib")
-BOUNDS = ((0.0, 100.0), (0.0, None))  # what a filled value may be; no upper bound: twice the 95th percentile of the day
+BOUNDS = ((0.0, 100.0), (0.0, None))  # what a filled value may be; no upper bound: the memory that the source has
 DAY = 86_400
 OUT_SCHEMA = "endpoint string, slot bigint, gpu_util_pct double, gpu_util_pct_sd double, mem_used_mib double, mem_used_mib_sd double, n_samples bigint, missing boolean"
 
@@ -38,8 +38,10 @@ def slot_means(gpu_log: DataFrame, step_sec: int = 60) -> DataFrame:
     both work within that partitioning.
     """
     us = sample_micros(F.col("logged_at"), F.col("sampled_at"))
+    total = F.col("mem_total_mib").cast("double") if "mem_total_mib" in gpu_log.columns else F.lit(None).cast("double")
+    top = F.when((total > 0) & ~F.isnan(total), total)
     usable = gpu_log.where(F.col("error").isNull() & F.col("sample_id").isNotNull()).select(
-        "endpoint", F.col("sample_id").cast("bigint").alias("sample_id"), us.alias("us"), *(F.col(f).cast("double").alias(f) for f in FIELDS)
+        "endpoint", F.col("sample_id").cast("bigint").alias("sample_id"), us.alias("us"), top.alias("top"), *(F.col(f).cast("double").alias(f) for f in FIELDS)
     )
     for f in FIELDS:
         usable = usable.where(F.col(f).isNotNull() & ~F.isnan(f))
@@ -47,9 +49,9 @@ def slot_means(gpu_log: DataFrame, step_sec: int = 60) -> DataFrame:
     slotted = usable.where(F.col("us").isNotNull()).withColumns(
         {"day": F.floor(F.col("us") / F.lit(DAY * 1_000_000)).cast("bigint"), "slot": F.floor(F.col("us") / F.lit(step)).cast("bigint") * step_sec}
     )
-    once = slotted.repartition("endpoint", "day").groupBy("endpoint", "day", "slot", "sample_id").agg(F.min("us").alias("us"), *(F.min(f).alias(f) for f in FIELDS))
+    once = slotted.repartition("endpoint", "day").groupBy("endpoint", "day", "slot", "sample_id").agg(F.min("us").alias("us"), F.max("top").alias("top"), *(F.min(f).alias(f) for f in FIELDS))
     return once.groupBy("endpoint", "day", "slot").agg(
-        F.count("*").alias("n"), (F.avg(F.col("us") / 1e6 - F.col("slot")) + F.col("slot")).alias("at"), *(F.avg(f).alias(f) for f in FIELDS)
+        F.max("top").alias("top"), F.count("*").alias("n"), (F.avg(F.col("us") / 1e6 - F.col("slot")) + F.col("slot")).alias("at"), *(F.avg(f).alias(f) for f in FIELDS)
     )
 
 
@@ -64,7 +66,7 @@ def regular_grid(gpu_log: DataFrame, step_sec: int = 60, max_gap: int = DAY, mar
     means = materialize(slot_means(gpu_log, step_sec), "slots")
     # the first and last reading of a day serve the neighbouring days: a gap shorter than a day ends there
     edges = means.groupBy("endpoint", "day").agg(
-        F.min_by(F.struct("slot", "n", "at", *FIELDS), "slot").alias("low"), F.max_by(F.struct("slot", "n", "at", *FIELDS), "slot").alias("high")
+        F.min_by(F.struct("slot", "n", "at", "top", *FIELDS), "slot").alias("low"), F.max_by(F.struct("slot", "n", "at", "top", *FIELDS), "slot").alias("high")
     )
     anchors = edges.select("endpoint", (F.col("day") + 1).alias("chunk"), "high.*").unionByName(edges.select("endpoint", (F.col("day") - 1).alias("chunk"), "low.*"))
     first_slot = F.col("day") * DAY
@@ -76,7 +78,7 @@ def regular_grid(gpu_log: DataFrame, step_sec: int = 60, max_gap: int = DAY, mar
         ),
         lambda x: x.isNotNull(),
     )
-    copies = means.select("endpoint", F.explode(reach).alias("chunk"), "slot", "n", "at", *FIELDS)
+    copies = means.select("endpoint", F.explode(reach).alias("chunk"), "slot", "n", "at", "top", *FIELDS)
     keyed = copies.unionByName(anchors).repartition("endpoint", "chunk").sortWithinPartitions("endpoint", "chunk", "slot")
     return keyed.mapInArrow(lambda batches: _smooth_days(batches, step_sec, max_gap), OUT_SCHEMA)
 
@@ -99,6 +101,8 @@ def _smooth(table: pa.Table, step: int, max_gap: int) -> pa.Table | None:
     y = np.stack([table.column(f).to_numpy()[rows] for f in FIELDS])
     first = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (endpoint[1:] != endpoint[:-1])])
     last = np.r_[first[1:], rows.size]
+    top = np.fmax.reduceat(table.column("top").to_numpy(zero_copy_only=False)[rows].astype(float), first)  # NaN where no row has it
+    top = np.where(np.isnan(top), np.inf, top)
 
     # the slots to fill within each day, placed between the readings in time
     owner, fill = [], []
@@ -125,7 +129,7 @@ def _smooth(table: pa.Table, step: int, max_gap: int) -> pa.Table | None:
     value = np.where(is_reading, y[:, source], np.nan)
     weight = np.where(is_reading, n[source], 1)
     slots = np.where(is_reading, slot[source], fill_at[np.where(is_reading, 0, order - rows.size)] if fill_at.size else 0)
-    mean, sd = _kalman(when, value, weight, of)
+    mean, sd = _kalman(when, value, weight, of, top)
 
     inside = (slots >= chunk[first][of] * DAY) & (slots < (chunk[first][of] + 1) * DAY)
     out = np.flatnonzero(inside)
@@ -135,18 +139,18 @@ def _smooth(table: pa.Table, step: int, max_gap: int) -> pa.Table | None:
     names = table.column("endpoint").take(pa.array(rows[first][of[out]]))
     columns = {"endpoint": names, "slot": pa.array(slots[out], pa.int64())}
     for j, f in enumerate(FIELDS):
-        columns[f] = pa.array(np.where(read, value[j, out], np.clip(mean[j, out], *BOUNDS[j])), pa.float64())
+        columns[f] = pa.array(np.where(read, value[j, out], np.clip(mean[j, out], BOUNDS[j][0], top[of[out]] if BOUNDS[j][1] is None else BOUNDS[j][1])), pa.float64())
         columns[f"{f}_sd"] = pa.array(sd[j, out], pa.float64())
     columns["n_samples"] = pa.array(np.where(read, weight[out], 0), pa.int64())
     columns["missing"] = pa.array(~read)
     return pa.table(columns)
 
 
-def _kalman(when: np.ndarray, value: np.ndarray, weight: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _kalman(when: np.ndarray, value: np.ndarray, weight: np.ndarray, of: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Smoothed mean and standard deviation of each field at each event.
 
     ``value`` is (fields, events), NaN where there is no reading; events are sorted by sequence
-    ``of`` and time. All sequences and fields advance together, one event of each a step.
+    ``of`` and time; ``top`` holds each sequence's bound of the fields that have none. All sequences and fields advance together, one event of each a step.
     """
     fields, events = value.shape
     start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
@@ -165,9 +169,7 @@ def _kalman(when: np.ndarray, value: np.ndarray, weight: np.ndarray, of: np.ndar
             x, t = value[j, a : a + m], when[a : a + m]
             ok = ~np.isnan(x)
             low, high = BOUNDS[j]
-            if high is None:
-                high = 2 * float(np.percentile(x[ok], 95)) if ok.any() else np.inf
-            x = np.clip(x, low, max(high, low + 1))
+            x = np.clip(x, low, top[of[a]] if high is None else high)
             value[j, a : a + m] = x
             x, t = x[ok], t[ok]
             d, h = np.diff(x), np.maximum(np.diff(t), 1.0)
