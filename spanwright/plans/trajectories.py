@@ -58,7 +58,7 @@ def q_d18_orphans(spark, sf_dir):
 
 
 def q_f17_condensed(spark, sf_dir):
-    return T.condensed(_turns(spark, sf_dir), max_turns=8, max_chars=60).select("run_id", "n_turns", F.md5("rendering").alias("md5"))
+    return T.condensed(_turns(spark, sf_dir)).select("run_id", "n_turns", F.md5("rendering").alias("md5"))
 
 
 def q_f18_even_sample(spark, sf_dir):
