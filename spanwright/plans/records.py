@@ -142,8 +142,8 @@ def q_j08_trailing_specials(spark, sf_dir):
 
 def q_j07_utf8_tail(spark, sf_dir):
     """Texts cut after a number of bytes that may split a character."""
-    docs = view(spark, sf_dir, "documents").where(F.octet_length("text") > 10)
-    cut = F.substring(F.col("text").cast("binary"), F.lit(1), F.octet_length("text") - F.pmod("doc_id", F.lit(7)).cast("int"))
+    docs = view(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    cut = F.substring(F.col("text").cast("binary"), F.lit(1), F.greatest(F.octet_length("text") - F.pmod("doc_id", F.lit(7)).cast("int"), F.lit(0)))
     return docs.select("doc_id", F.length(R.decoded_tail(cut)).alias("n"))
 
 
