@@ -102,7 +102,7 @@ def condensed(turns: DataFrame, max_turns: int = 60, max_chars: int = 400) -> Da
     counted = turns.withColumns({"at": F.row_number().over(order), "n": F.count("*").over(Window.partitionBy("run_id"))})
     half = max_turns // 2
     kept = counted.where((F.col("n") <= max_turns) | (F.col("at") <= half) | (F.col("at") > F.col("n") - half))
-    line = F.concat(F.lit("["), F.col("idx").cast("string"), F.lit("] "), F.col("role"), F.lit(":"), F.coalesce(F.concat(F.lit(" "), shortened(F.nullif("content", F.lit("")), max_chars)), F.lit("")))
+    line = F.concat(F.lit("["), F.col("idx").cast("string"), F.lit("] "), F.coalesce("role", F.lit("")), F.lit(":"), F.coalesce(F.concat(F.lit(" "), shortened(F.nullif("content", F.lit("")), max_chars)), F.lit("")))
     first_after = (F.col("n") > max_turns) & (F.col("at") == F.col("n") - half + 1)
     text = F.when(first_after, F.concat(F.lit("... ["), (F.col("n") - max_turns).cast("string"), F.lit(" turns omitted] ...\n"), line)).otherwise(line)
     return kept.groupBy("run_id").agg(F.max("n").alias("n_turns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", text.alias("text")))), lambda x: x["text"]), "\n").alias("rendering"))

@@ -43,7 +43,7 @@ def q_a06_subagents(spark, sf_dir):
     key = F.col("s_suppkey")
     edges = view(spark, sf_dir, "supplier").select(key.alias("src"), F.explode(F.array((key * 7) % n + 1, (key * 3 + 5) % n + 1)).alias("dst"))
     roots = view(spark, sf_dir, "supplier").select(key.alias("root"))
-    return files.reachable_files(spark, roots, edges).groupBy("root").agg(F.count("*").alias("visits"), F.count_distinct("file").alias("files"), F.max("depth").alias("depth"))
+    return files.reachable_files(roots, edges).groupBy("root").agg(F.count("*").alias("visits"), F.count_distinct("file").alias("files"), F.max("depth").alias("depth"))
 
 
 def _gym_lines(spark, sf_dir):
@@ -256,7 +256,7 @@ SELECT config, selected, coalesce(selected = 'error_adaptation', false) AS recov
 r AS (SELECT config, CASE WHEN i < nc THEN 'win_clean' ELSE 'win_recovering' END AS kind FROM (SELECT *, unnest(range(0, w)) AS i FROM z) UNION ALL SELECT config, CASE WHEN i < np THEN 'loss_planted' ELSE concat('loss_', ['stops_to_ask', 'wrong_output_shape', 'drops_second_requirement'][CAST((i - np) % 3 AS INT) + 1]) END FROM (SELECT *, unnest(range(0, l)) AS i FROM z))
 SELECT config, kind, count(*) AS n FROM r GROUP BY 1, 2""",
     "q_a05_atif_turns": f"WITH {_ONCE}, k AS (SELECT * FROM t WHERE r = 'tool' OR content IS NOT NULL OR thinking IS NOT NULL OR len(tool_calls) > 0) SELECT run_id, count(*) AS n, count(*) FILTER (r = 'tool') AS tool, CAST(count(*) - 1 AS INT) AS last_idx FROM k GROUP BY 1",
-    "q_a06_subagents": "WITH RECURSIVE n AS (SELECT count(*) AS n FROM supplier), e AS (SELECT s_suppkey AS src, unnest([(s_suppkey * 7) % n + 1, (s_suppkey * 3 + 5) % n + 1]) AS dst FROM supplier, n), w(root, file, depth, path) AS (SELECT s_suppkey, s_suppkey, 0, [s_suppkey] FROM supplier WHERE s_suppkey % 5 = 0 UNION ALL SELECT w.root, e.dst, w.depth + 1, list_append(w.path, e.dst) FROM w JOIN e ON e.src = w.file WHERE w.depth < 3 AND NOT list_contains(w.path, e.dst)) SELECT root, count(*) AS visits, count(DISTINCT file) AS files, max(depth) AS depth FROM w GROUP BY 1",
+    "q_a06_subagents": "WITH RECURSIVE n AS (SELECT count(*) AS n FROM supplier), e AS (SELECT s_suppkey AS src, unnest([(s_suppkey * 7) % n + 1, (s_suppkey * 3 + 5) % n + 1]) AS dst FROM supplier, n), w(root, file, depth, path) AS (SELECT s_suppkey, s_suppkey, 0, [s_suppkey] FROM supplier UNION ALL SELECT w.root, e.dst, w.depth + 1, list_append(w.path, e.dst) FROM w JOIN e ON e.src = w.file WHERE w.depth < 5 AND NOT list_contains(w.path, e.dst)) SELECT root, count(*) AS visits, count(DISTINCT file) AS files, max(depth) AS depth FROM w GROUP BY 1",
     "q_a19_gym_alias": f"WITH {_GYM} SELECT * FROM gym",
     "q_c20_importable": f"WITH {_GYM} SELECT CASE WHEN image IS NULL THEN 'no_image' WHEN fail_to_pass = '' THEN 'no_fail_to_pass' WHEN test_patch IS NULL THEN 'no_test_patch' WHEN language = 'cobol' THEN 'no_test_command' END AS reason, count(*) AS n FROM gym GROUP BY 1",
     "q_a27_scraped_series": "WITH m AS (SELECT DISTINCT ON (metric_id) * FROM vllm_metrics WHERE running IS NOT NULL AND gen_tokens_total IS NOT NULL) SELECT metric_id AS scrape, 'vllm:num_requests_running' AS series, running + 1.0 AS value FROM m UNION ALL SELECT metric_id, 'vllm:generation_tokens_total', gen_tokens_total FROM m",

@@ -104,7 +104,9 @@ _G = """g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id
   CASE WHEN logged_at IS NULL OR logged_at = 0 OR isnan(logged_at) THEN CASE WHEN sampled_at = 0 THEN NULL ELSE sampled_at END ELSE logged_at END AS raw FROM gpu_log) WHERE rn = 1 AND raw IS NOT NULL),
 gpu AS (SELECT *, CAST(round(CASE WHEN raw > 1e11 THEN raw * 1e3 ELSE raw * 1e6 END) AS BIGINT) AS us FROM g)"""
 _M = "m AS (SELECT *, epoch_us(ts) AS us FROM (SELECT *, row_number() OVER (PARTITION BY metric_id ORDER BY ingested_at) AS rn FROM vllm_metrics) WHERE rn = 1)"
-_ST = """st AS (SELECT *, CASE WHEN ends_with(trim(step_timestamp), 'Z') THEN epoch_us(TRY_CAST(trim(step_timestamp) AS TIMESTAMPTZ)) END AS us FROM (SELECT *, row_number() OVER (PARTITION BY step_key ORDER BY ingested_at) AS rn FROM step_views) WHERE rn = 1)"""
+_ST = """sp AS (SELECT *, trim(step_timestamp) AS b FROM (SELECT *, row_number() OVER (PARTITION BY step_key ORDER BY ingested_at) AS rn FROM step_views) WHERE rn = 1),
+so AS (SELECT *, TRY_CAST(regexp_replace(b, '(?:[Zz]|[+-][0-9][0-9]:?[0-9][0-9])$', '') AS TIMESTAMP) AS bare, regexp_extract(b, '([+-])([0-9][0-9]):?([0-9][0-9])$', ['s', 'h', 'm']) AS o FROM sp),
+st AS (SELECT *, epoch_us(bare) - CASE WHEN o.s IN ('+', '-') THEN CASE o.s WHEN '+' THEN 1 ELSE -1 END * (TRY_CAST(o.h AS BIGINT) * 60 + TRY_CAST(o.m AS BIGINT)) * 60000000 ELSE 0 END AS us FROM so)"""
 _WIN = f"{_G}, {_ST}, win AS (SELECT trial_id AS window_id, endpoint AS entity, min(us) - 30000000 AS f, max(us) + 30000000 AS t FROM st WHERE us IS NOT NULL AND endpoint IS NOT NULL GROUP BY 1, 2)"
 
 QUERIES = {name: f for name, f in dict(globals()).items() if name.startswith("q_")}

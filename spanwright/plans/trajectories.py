@@ -156,7 +156,7 @@ SQL = {
     "q_f06_consecutive_roles": f"WITH {_MSG}, m AS (SELECT run_id, role = 'user' AND lag(role) OVER (PARTITION BY run_id ORDER BY idx, turn_id) = 'user' AS again FROM msg) SELECT run_id, count(*) FILTER (again) AS n FROM m GROUP BY 1 HAVING count(*) FILTER (again) > 0",
     "q_f15_last_user": f"WITH {_T}, l AS (SELECT run_id, max(idx) AS last_user FROM t WHERE role = 'user' GROUP BY 1) SELECT l.run_id, l.last_user, (SELECT count(*) FROM t WHERE t.run_id = l.run_id AND t.role = 'assistant' AND t.thinking IS NOT NULL AND t.idx < l.last_user) AS dropped FROM l",
     "q_d18_orphans": f"WITH {_T}, c AS (SELECT DISTINCT run_id, unnest(tool_calls).id AS id FROM t WHERE len(tool_calls) > 0) SELECT t.run_id, t.turn_id, t.tool_call_id FROM t LEFT JOIN c ON c.run_id = t.run_id AND c.id = t.tool_call_id WHERE t.tool_call_id IS NOT NULL AND c.id IS NULL",
-    "q_f17_condensed": f"WITH {_T}, n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY idx, turn_id) AS nth, count(*) OVER (PARTITION BY run_id) AS n FROM t), l AS (SELECT run_id, nth, n, concat(CASE WHEN n > 8 AND nth = n - 3 THEN concat('... [', n - 8, ' turns omitted] ...' || chr(10)) ELSE '' END, '[', idx, '] ', role, ':', CASE WHEN content IS NULL OR content = '' THEN '' WHEN length(content) > 60 THEN concat(' ', substr(content, 1, 60), '...') ELSE concat(' ', content) END) AS line FROM n WHERE n <= 8 OR nth <= 4 OR nth > n - 4) SELECT run_id, max(n) AS n_turns, md5(string_agg(line, chr(10) ORDER BY nth)) AS md5 FROM l GROUP BY 1",
+    "q_f17_condensed": f"WITH {_T}, n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY idx, turn_id) AS nth, count(*) OVER (PARTITION BY run_id) AS n FROM t), l AS (SELECT run_id, nth, n, concat(CASE WHEN n > 60 AND nth = n - 29 THEN concat('... [', n - 60, ' turns omitted] ...' || chr(10)) ELSE '' END, '[', idx, '] ', role, ':', CASE WHEN content IS NULL OR content = '' THEN '' WHEN length(content) > 400 THEN concat(' ', substr(content, 1, 400), '...') ELSE concat(' ', content) END) AS line FROM n WHERE n <= 60 OR nth <= 30 OR nth > n - 30) SELECT run_id, max(n) AS n_turns, md5(string_agg(line, chr(10) ORDER BY nth)) AS md5 FROM l GROUP BY 1",
     "q_f18_even_sample": f"WITH {_T}, n AS (SELECT run_id, idx, turn_id, row_number() OVER (PARTITION BY run_id ORDER BY idx, turn_id) - 1 AS nth, count(*) OVER (PARTITION BY run_id) AS n FROM t) SELECT run_id, idx, turn_id FROM n WHERE n <= 5 OR list_contains(list_transform(range(0, 5), lambda i: i * n // 5), nth)",
     "q_f07_per_task_cap": f"WITH {_SEG} SELECT task, segment_id FROM (SELECT task, segment_id, row_number() OVER (PARTITION BY task ORDER BY segment_id) AS k FROM s) WHERE k <= 2",
     "q_e30_shapes": f"WITH {_T} SELECT run_id, count(*) AS n_turns, CAST(sum(coalesce(len(tool_calls), 0)) AS BIGINT) AS n_tool_calls FROM t GROUP BY 1",

@@ -26,20 +26,20 @@ FROM (SELECT run_id, outcome, capability_id, substr(md5(concat(run_id, ':', capa
     "v_truth": """
 SELECT run_id, capability_id, CASE WHEN h < '4' THEN 'NA' WHEN h < 'a' THEN 'PRESENT' ELSE 'LACKING' END AS truth
 FROM (SELECT run_id, capability_id, substr(md5(concat(run_id, ':', capability_id)), 1, 1) AS h FROM {v_runs} CROSS JOIN {v_capabilities})""",
-    # events of a user are rollouts of a task by two models: eight first, then 32 more where none passed
+    # every 40 events of a user are the rollouts of a task by two models: eight first, then 32 more where none passed
     "v_attempts": """
-SELECT concat('task-', user_id) AS task, model, rn AS rollout_index, CASE WHEN rn <= 8 THEN 'stage1' ELSE 'stage2' END AS stratum, value AS elapsed_sec,
+SELECT user_id, concat('task-', part, '-', user_id) AS task, model, rn - 40 * part AS rollout_index, CASE WHEN rn - 40 * part <= 8 THEN 'stage1' ELSE 'stage2' END AS stratum, value AS elapsed_sec,
   CASE event_type WHEN 'error' THEN NULL ELSE (CASE event_type WHEN 'click' THEN 0 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 ELSE 3 END)
     < CASE model WHEN 'student' THEN user_id % 5 ELSE CAST(floor(user_id / 5) AS BIGINT) % 5 END END AS passed
-FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM {events})
-CROSS JOIN (SELECT * FROM (VALUES ('student'), ('teacher')) AS m(model)) WHERE rn <= 40""",
+FROM (SELECT *, CAST(floor((rn - 1) / 40) AS BIGINT) AS part FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM {events}))
+CROSS JOIN (SELECT * FROM (VALUES ('student'), ('teacher')) AS m(model))""",
     "v_rollouts": """
 SELECT a.* FROM {v_attempts} a LEFT JOIN (
   SELECT model AS m, task AS t FROM {v_attempts} WHERE stratum = 'stage1' AND passed IS NOT NULL GROUP BY model, task
   HAVING sum(CASE WHEN passed THEN 1 ELSE 0 END) = 0) z ON a.model = z.m AND a.task = z.t
 WHERE a.stratum = 'stage1' OR z.t IS NOT NULL""",
     "v_task_caps": """
-SELECT DISTINCT concat('task-', user_id) AS task, concat('c', user_id % 6) AS capability FROM {events}""",
+SELECT DISTINCT task, concat('c', user_id % 6) AS capability FROM {v_attempts}""",
     "v_turns": """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY ingested_at) AS rn FROM {turns}) WHERE rn = 1""",
 }

@@ -75,18 +75,20 @@ def atif_turns(steps: DataFrame) -> DataFrame:
     return own.unionByName(results).withColumn("idx", F.row_number().over(order) - 1).drop("step", "result")
 
 
-def reachable_files(spark: SparkSession, roots: DataFrame, edges: DataFrame, max_depth: int = 5) -> DataFrame:
-    """Files reached from each root (root) over references (src, dst): (root, file, depth, path), a cycle followed no further."""
-    return spark.sql(
-        """
-        WITH RECURSIVE walk(root, file, depth, path) AS (
-          SELECT root, root, 0, array(root) FROM {roots}
-          UNION ALL
-          SELECT w.root, e.dst, w.depth + 1, concat(w.path, array(e.dst)) FROM walk w JOIN {edges} e ON e.src = w.file
-          WHERE w.depth < {depth} AND NOT array_contains(w.path, e.dst))
-        SELECT * FROM walk""",
-        roots=roots.select("root"), edges=edges.select("src", "dst"), depth=max_depth,
-    )
+def reachable_files(roots: DataFrame, edges: DataFrame, max_depth: int = 5) -> DataFrame:
+    """Files reached from each root (root) over references (src, dst): (root, file, depth, path), a cycle followed no further.
+
+    One join a level: a path meets each of its references and a null one, which keeps the path itself. A kept
+    path still joins by its last file, so that kept paths stay spread.
+    """
+    links = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select(F.col("src").alias("at"), "dst")
+    links = links.unionByName(links.select("at", F.lit(None).cast(links.schema["dst"].dataType).alias("dst")).distinct()).withColumn("kept", F.lit(False))
+    paths = roots.select("root", F.array("root").alias("path"), F.col("root").alias("at"), F.lit(False).alias("kept"))
+    for _ in range(max_depth):
+        met = paths.join(links, ["at", "kept"], "left").where(F.col("dst").isNull() | ~F.array_contains("path", F.col("dst")))
+        last = F.coalesce("dst", "at")
+        paths = met.select("root", F.when(F.col("dst").isNull(), F.col("path")).otherwise(F.concat("path", F.array("dst"))).alias("path"), last.alias("at"), F.col("dst").isNull().alias("kept"))
+    return paths.select("root", F.col("at").alias("file"), (F.size("path") - 1).alias("depth"), "path")
 
 
 def newest(rows: DataFrame, key: str, preferred: Column) -> DataFrame:

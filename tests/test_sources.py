@@ -57,7 +57,7 @@ def test_messages_of_parts(spark):
 
 def test_cycles_end(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "c")], "src string, dst string")
-    rows = files.reachable_files(spark, spark.createDataFrame([("a",)], "root string"), edges).collect()
+    rows = files.reachable_files(spark.createDataFrame([("a",)], "root string"), edges).collect()
     assert sorted((r.file, r.depth) for r in rows) == [("a", 0), ("b", 1), ("c", 2)]
 
 
