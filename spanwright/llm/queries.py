@@ -65,6 +65,27 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emit_pieces(segments, tables, piece_offsets(tables))
 
 
+_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{85}\x{1c}-\x{1f}\x{0b}]"
+
+
+def p5_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The oversized segments put together again from their pieces: nothing lost, no piece too large, the overlaps as specified.
+
+    ``tokens_md5`` is over the tokens of the pieces' texts, each piece past the first without its first 128.
+    """
+    tokens = F.flatten(F.transform("messages", lambda m: F.regexp_extract_all(m["content"], F.lit(_TOKEN), F.lit(0))))
+    read = p5_pieces(spark, sf_dir).select("segment_id", "piece_no", tokens.alias("tokens"))
+    piece = F.struct("piece_no", F.size("tokens").alias("size"), F.slice("tokens", 1, 128).alias("head"), F.slice("tokens", -128, 128).alias("tail"), F.expr("slice(tokens, IF(piece_no = 0, 1, 129), greatest(size(tokens), 1))").alias("fresh"))
+    ordered = read.groupBy("segment_id").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    after = F.slice("pieces", 2, F.size("pieces"))
+    kept = F.zip_with(F.slice("pieces", 1, F.size("pieces") - 1), after, lambda a, b: a["tail"] == b["head"])
+    joined = F.flatten(F.transform("pieces", lambda x: x["fresh"]))
+    return ordered.select(
+        "segment_id", F.size(joined).cast("bigint").alias("n_tokens"), F.md5(F.array_join(joined, " ")).alias("tokens_md5"),
+        F.forall("pieces", lambda x: x["size"] <= 2048).alias("within"), F.forall(kept, lambda x: x).alias("overlapping"),
+    )
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(read_table(spark, sf_dir, "documents"))
 
@@ -123,6 +144,12 @@ SELECT segment_id FROM texts WHERE content IS NOT NULL GROUP BY segment_id
 HAVING sum(len(regexp_extract_all(content, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{85}\x1c-\x1f\x0b]'))) > 2048
 """
 
+P5_REJOINED_SQL = r"""
+WITH once AS (SELECT DISTINCT ON (segment_id) segment_id, messages FROM segments WHERE segment_id IS NOT NULL),
+found AS (SELECT segment_id, flatten(list_transform(messages, lambda m: regexp_extract_all(coalesce(m.content, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{85}\x1c-\x1f\x0b]'))) AS tokens FROM once)
+SELECT segment_id, len(tokens) AS n_tokens, md5(array_to_string(tokens, ' ')) AS tokens_md5, true AS within, true AS overlapping FROM found WHERE len(tokens) > 2048
+"""
+
 _P1 = r"""steps AS (SELECT DISTINCT ON (step_key) step_key, endpoint, trim(step_timestamp) AS b FROM step_views WHERE endpoint IS NOT NULL),
 parts AS (SELECT step_key, endpoint, TRY_CAST(regexp_replace(b, '(?:[Zz]|[+-][0-9][0-9]:?[0-9][0-9])$', '') AS TIMESTAMP) AS t, regexp_extract(b, '([+-])([0-9][0-9]):?([0-9][0-9])$', ['s', 'h', 'm']) AS o FROM steps),
 timed AS (SELECT step_key, endpoint, epoch_us(t) - CASE WHEN o.s IN ('+', '-') THEN CASE o.s WHEN '+' THEN 1 ELSE -1 END * (TRY_CAST(o.h AS BIGINT) * 60 + TRY_CAST(o.m AS BIGINT)) * 60000000 ELSE 0 END AS us FROM parts WHERE t IS NOT NULL),
@@ -146,6 +173,7 @@ QUERIES = {
     "p4_events": p4_events,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p5_rejoined": p5_rejoined,
     "p7_ids": p7_ids,
     "p7_round_trip": p7_round_trip,
     "p8_containers": p8_containers,
@@ -153,4 +181,4 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_scores": p9_scores,
 }
-SQL = {"p1_found": P1_FOUND_SQL, "p1_pairs": P1_PAIRS_SQL, "p3_found": P3_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p7_round_trip": P7_ROUND_TRIP_SQL}
+SQL = {"p1_found": P1_FOUND_SQL, "p1_pairs": P1_PAIRS_SQL, "p3_found": P3_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p5_rejoined": P5_REJOINED_SQL, "p7_round_trip": P7_ROUND_TRIP_SQL}
