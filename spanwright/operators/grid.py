@@ -9,8 +9,8 @@ sample get the smoothed value, its standard deviation and the flag ``missing``.
 Defined results: a repeated delivery counts once; a sample without a time, with an error, or with
 a null or NaN field is not usable; a null endpoint is a source of its own; slots in silences of
 ``max_gap`` or more are not part of the grid; an empty table gives no rows; extra columns are
-ignored. A filled value uses the readings of its own day, of two hours on either side, and the
-nearest reading beyond.
+ignored. A filled value uses the readings of its own day, the first two hours of readings of the next
+and the last two of the day before.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwright.functions.telemetry import sample_micros
@@ -28,6 +28,7 @@ from spanwright.runtime import materialize, sorted_groups
 FIELDS = ("gpu_util_pct", "mem_used_mib")
 BOUNDS = ((0.0, 100.0), (0.0, None))  # what a filled value may be; no upper bound: the memory that the source has
 DAY = 86_400
+CELLS = 400_000  # steps times sequences that are smoothed side by side; each takes about 300 bytes
 OUT_SCHEMA = "endpoint string, slot bigint, gpu_util_pct double, gpu_util_pct_sd double, mem_used_mib double, mem_used_mib_sd double, n_samples bigint, missing boolean"
 
 
@@ -63,23 +64,16 @@ def regular_grid(gpu_log: DataFrame, step_sec: int = 60, max_gap: int = DAY, mar
     """
     if not 0 < max_gap <= DAY or DAY % step_sec:
         raise ValueError("max_gap must be within a day and a day a whole number of slots")
-    means = materialize(slot_means(gpu_log, step_sec), "slots")
-    # the first and last reading of a day serve the neighbouring days: a gap shorter than a day ends there
-    edges = means.groupBy("endpoint", "day").agg(
-        F.min_by(F.struct("slot", "n", "at", "top", *FIELDS), "slot").alias("low"), F.max_by(F.struct("slot", "n", "at", "top", *FIELDS), "slot").alias("high")
-    )
-    anchors = edges.select("endpoint", (F.col("day") + 1).alias("chunk"), "high.*").unionByName(edges.select("endpoint", (F.col("day") - 1).alias("chunk"), "low.*"))
-    first_slot = F.col("day") * DAY
+    # a gap shorter than a day ends in its own day or the next, whose first readings serve it
+    day = Window.partitionBy("endpoint", "day")
+    means = slot_means(gpu_log, step_sec).withColumns({"low": F.min("slot").over(day), "high": F.max("slot").over(day)})
+    means = materialize(means, "slots")
     reach = F.filter(
-        F.array(
-            F.col("day"),
-            F.when(F.col("slot") < first_slot + margin_sec, F.col("day") - 1),
-            F.when(F.col("slot") >= first_slot + DAY - margin_sec, F.col("day") + 1),
-        ),
+        F.array(F.col("day"), F.when(F.col("slot") <= F.col("low") + margin_sec, F.col("day") - 1), F.when(F.col("slot") >= F.col("high") - margin_sec, F.col("day") + 1)),
         lambda x: x.isNotNull(),
     )
     copies = means.select("endpoint", F.explode(reach).alias("chunk"), "slot", "n", "at", "top", *FIELDS)
-    keyed = copies.unionByName(anchors).repartition("endpoint", "chunk").sortWithinPartitions("endpoint", "chunk", "slot")
+    keyed = copies.repartition("endpoint", "chunk").sortWithinPartitions("endpoint", "chunk", "slot")
     return keyed.mapInArrow(lambda batches: _smooth_days(batches, step_sec, max_gap), OUT_SCHEMA)
 
 
@@ -87,39 +81,60 @@ def _smooth_days(batches: Iterator[pa.RecordBatch], step: int, max_gap: int) ->
     yield from sorted_groups(batches, ["endpoint", "chunk"], lambda table: _smooth(table, step, max_gap))
 
 
-def _smooth(table: pa.Table, step: int, max_gap: int) -> pa.Table | None:
+def _smooth(table: pa.Table, step: int, max_gap: int) -> Iterator[pa.Table]:
     chunk = table.column("chunk").to_numpy()
     codes = table.column("endpoint").combine_chunks().dictionary_encode()
     codes = codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes
     endpoint = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
     slot = table.column("slot").to_numpy()
-    new = np.r_[True, (chunk[1:] != chunk[:-1]) | (endpoint[1:] != endpoint[:-1])]
-    keep = np.r_[True, (slot[1:] != slot[:-1]) | new[1:]]  # an anchor may repeat a margin's reading
-    rows = np.flatnonzero(keep)
-    chunk, endpoint, slot = chunk[rows], endpoint[rows], slot[rows]
-    n, at = table.column("n").to_numpy()[rows], table.column("at").to_numpy()[rows]
-    y = np.stack([table.column(f).to_numpy()[rows] for f in FIELDS])
+    n, at = table.column("n").to_numpy(), table.column("at").to_numpy()
+    y = np.stack([table.column(f).to_numpy() for f in FIELDS])
     first = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (endpoint[1:] != endpoint[:-1])])
-    last = np.r_[first[1:], rows.size]
-    top = np.fmax.reduceat(table.column("top").to_numpy(zero_copy_only=False)[rows].astype(float), first)  # NaN where no row has it
+    last = np.r_[first[1:], slot.size]
+    top = np.fmax.reduceat(table.column("top").to_numpy(zero_copy_only=False).astype(float), first)  # NaN where no row has it
     top = np.where(np.isnan(top), np.inf, top)
 
-    # the slots to fill within each day, placed between the readings in time
-    owner, fill = [], []
-    for k, (a, b) in enumerate(zip(first, last)):
-        s = slot[a:b]
-        gap = np.diff(s)
-        lo, hi = chunk[a] * DAY, (chunk[a] + 1) * DAY
-        for i in np.flatnonzero((gap > step) & (gap < max_gap)):
-            x = np.arange(max(s[i] + step, lo), min(s[i + 1], hi), step)
-            if x.size:
-                fill.append(x)
-                owner.append(np.full(x.size, k))
-    fill_at = np.concatenate(fill) if fill else np.empty(0, np.int64)
-    fill_of = np.concatenate(owner) if owner else np.empty(0, np.int64)
-    group = np.repeat(np.arange(first.size), last - first)
-
-    # all events of all days, sorted by day and time: readings at their mean time, fills at mid-slot
+    # how many slots each gap leaves to fill within its day, counted before any is made
+    of_row, gap = np.repeat(np.arange(first.size), last - first), np.diff(slot)
+    inner = np.flatnonzero((gap > step) & (gap < max_gap) & (of_row[1:] == of_row[:-1]))
+    gap_low = np.maximum(slot[inner] + step, chunk[inner] * DAY)
+    gap_high = np.minimum(slot[inner + 1], (chunk[inner] + 1) * DAY)
+    slots_of = np.maximum((gap_high - gap_low + step - 1) // step, 0)
+    gap_group = of_row[inner]
+    size = (last - first) + np.bincount(gap_group, slots_of, first.size).astype(np.int64)
+
+    # sequences of like length share a slab of bounded size, however many slots sparse sources have to fill
+    by_length = np.argsort(-size, kind="stable")
+    at_group = 0
+    names = table.column("endpoint").take(pa.array(first))
+    while at_group < by_length.size:
+        share = max(1, CELLS // int(size[by_length[at_group]]))
+        mine = np.sort(by_length[at_group : at_group + share])
+        at_group += share
+        part = _smooth_slab(mine, first, last, slot, chunk, n, at, y, top, inner, gap_group, gap_low, slots_of, step)
+        if part is not None:
+            owner, columns = part
+            yield pa.table({"endpoint": names.take(pa.array(owner)), **columns})
+
+
+def _smooth_slab(
+    mine: np.ndarray, first: np.ndarray, last: np.ndarray, slot: np.ndarray, chunk: np.ndarray, n: np.ndarray, at: np.ndarray, y: np.ndarray, top: np.ndarray,
+    inner: np.ndarray, gap_group: np.ndarray, gap_low: np.ndarray, slots_of: np.ndarray, step: int,
+) -> tuple[np.ndarray, dict[str, pa.Array]] | None:
+    """The rows of the sequences ``mine``: the sequence of each, and its columns."""
+    sizes = last[mine] - first[mine]
+    rows = np.repeat(first[mine] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(int(sizes.sum()))
+    group = np.repeat(np.arange(mine.size), sizes)
+    place = np.full(first.size, -1)
+    place[mine] = np.arange(mine.size)
+    gaps = np.flatnonzero((place[gap_group] >= 0) & (slots_of > 0))
+    many = slots_of[gaps]
+    fill_at = np.repeat(gap_low[gaps] - step * np.r_[0, np.cumsum(many)[:-1]], many) + step * np.arange(int(many.sum()))
+    fill_of = np.repeat(place[gap_group[gaps]], many)
+    slot, n, at, y, top = slot[rows], n[rows], at[rows], y[:, rows], top[mine]
+    day = chunk[first[mine]]
+
+    # all events of these days, sorted by day and time: readings at their mean time, fills at mid-slot
     when = np.r_[at, fill_at + step / 2]
     of = np.r_[group, fill_of]
     order = np.lexsort((when, of))
@@ -131,19 +146,18 @@ def _smooth(table: pa.Table, step: int, max_gap: int) -> pa.Table | None:
     slots = np.where(is_reading, slot[source], fill_at[np.where(is_reading, 0, order - rows.size)] if fill_at.size else 0)
     mean, sd = _kalman(when, value, weight, of, top)
 
-    inside = (slots >= chunk[first][of] * DAY) & (slots < (chunk[first][of] + 1) * DAY)
+    inside = (slots >= day[of] * DAY) & (slots < (day[of] + 1) * DAY)
     out = np.flatnonzero(inside)
     if not out.size:
         return None
     read = is_reading[out]
-    names = table.column("endpoint").take(pa.array(rows[first][of[out]]))
-    columns = {"endpoint": names, "slot": pa.array(slots[out], pa.int64())}
+    columns = {"slot": pa.array(slots[out], pa.int64())}
     for j, f in enumerate(FIELDS):
         columns[f] = pa.array(np.where(read, value[j, out], np.clip(mean[j, out], BOUNDS[j][0], top[of[out]] if BOUNDS[j][1] is None else BOUNDS[j][1])), pa.float64())
         columns[f"{f}_sd"] = pa.array(sd[j, out], pa.float64())
     columns["n_samples"] = pa.array(np.where(read, weight[out], 0), pa.int64())
     columns["missing"] = pa.array(~read)
-    return pa.table(columns)
+    return mine[of[out]], columns
 
 
 def _kalman(when: np.ndarray, value: np.ndarray, weight: np.ndarray, of: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

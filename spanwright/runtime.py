@@ -83,13 +83,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def sorted_groups(
     batches: Iterator[pa.RecordBatch],
     keys: list[str],
-    work: Callable[[pa.Table], pa.Table | None],
+    work: Callable[[pa.Table], pa.Table | Iterator[pa.Table] | None],
     rows: int = 200_000,
 ) -> Iterator[pa.RecordBatch]:
     """Feed ``work`` with tables that hold whole groups of a partition sorted by ``keys``.
 
     Several small groups share a call, so that vectorised work pays its fixed cost once for
-    about ``rows`` rows; a group is never divided between calls.
+    about ``rows`` rows; a group is never divided between calls. ``work`` may yield its result in parts.
     """
     held: list[pa.RecordBatch] = []
     count = 0
@@ -97,8 +97,9 @@ def sorted_groups(
     def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if table.num_rows:
             out = work(table.combine_chunks())
-            if out is not None and out.num_rows:
-                yield from out.to_batches(max_chunksize=65_536)
+            for part in [out] if out is None or isinstance(out, pa.Table) else out:
+                if part is not None and part.num_rows:
+                    yield from part.to_batches(max_chunksize=65_536)
 
     for batch in batches:
         if not batch.num_rows:
