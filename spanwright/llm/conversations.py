@@ -3,8 +3,15 @@
 Rows are partitioned by conversation and block of the sequence number and sorted by it. A
 finite-state automaton reads the turns of a block from each of its entry states, which gives the
 block's transition map; the maps of a conversation's blocks compose in order. So a conversation
-holding a third of all rows is read in many tasks and ends as one short row per block. Calls and
-their results are tied by sums over (conversation, call id), made before the exchange.
+holding a third of all rows is read in many tasks and ends as one short row per block. The automaton
+decides on sequence numbers, roles, questions and replies: an unknown role, a missing or shared number
+or a gap is a letter that breaks it, and only a run that ends with its last question answered is accepted,
+which an empty or blank one never is.
+
+The ties of calls to results have no finite alphabet, so an automaton of its own reads each (conversation,
+call id): a result before any call breaks it, a call opens it, a later result closes it. The state in which
+it ends depends on the first and last call and result only, which are combined before the exchange. Turns
+and ties come from one scan and share one exchange.
 
 Defined results: a repeated delivery of a turn counts once; roles are trimmed, lower-cased, and
 ``agent`` is ``assistant``; a null depth is 0; a turn with a null run takes no part, one with a null
@@ -21,10 +28,10 @@ from spanwright.runtime import materialize
 
 ROLES = ("system", "user", "assistant", "tool")
 BLOCK = 4096  # sequence numbers a block
-# states of the automaton over the turns of depth 0
-IDLE, WAITING, BROKEN = 0, 1, 2
+# states of the automaton: no question yet, the last one answered, the last one open, broken
+NONE, ANSWERED, WAITING, BROKEN = range(4)
 # what a turn is to the automaton
-OTHER, ASKS, REPLIES = 0, 1, 2
+OTHER, ASKS, REPLIES, BREAKS = range(4)
 _SPACE = r"(?U)[\s\x1c-\x1f]"
 
 
@@ -39,89 +46,79 @@ def blank(content: Column, tool_calls: Column) -> Column:
     return no_text & (F.coalesce(F.size(tool_calls), F.lit(0)) <= 0)
 
 
-def _turn_facts(turns: DataFrame) -> DataFrame:
-    """The few small columns that validation needs, one row per turn; texts stay where they are."""
+def _letter() -> Column:
+    """What a turn is to the automaton, were it in its place."""
     role = clean_role(F.col("role"))
     depth0 = F.coalesce(F.col("subagent_depth"), F.lit(0)) == 0
+    known = F.coalesce(role.isin(*ROLES), F.lit(False)) & F.col("idx").isNotNull()
     empty = blank(F.col("content"), F.col("tool_calls"))
-    letter = F.when(depth0 & (role == "user"), ASKS).when(depth0 & (role == "assistant") & ~empty, REPLIES).otherwise(OTHER)
-    return turns.where(F.col("run_id").isNotNull()).select(
-        "run_id",
-        F.col("turn_id").cast("bigint").alias("turn_id"),
-        F.col("idx").cast("bigint").alias("idx"),
-        F.coalesce(role.isin(*ROLES), F.lit(False)).alias("known_role"),
-        empty.alias("empty"),
-        F.coalesce(letter, F.lit(OTHER)).cast("tinyint").alias("letter"),
-        (role == "tool").alias("is_tool"),
-        F.col("tool_call_id"),
-        F.when(F.size("tool_calls") > 0, F.transform("tool_calls", lambda c: c["id"])).alias("calls"),
-    )
+    return F.when(~known, BREAKS).when(depth0 & (role == "user"), ASKS).when(depth0 & (role == "assistant") & ~empty, REPLIES).otherwise(OTHER).cast("tinyint")
 
 
-def _run_of_letters(letters: Column, entry: int) -> Column:
-    """The automaton's state after a block's letters, entered in ``entry``.
+def _after(state: Column, letter: Column) -> Column:
+    """The transition function: a second question breaks an open one, a reply answers it."""
+    asks = F.when(state == WAITING, BROKEN).otherwise(WAITING)
+    replies = F.when(state == NONE, NONE).otherwise(ANSWERED)
+    return F.when((state == BROKEN) | (letter == BREAKS), BROKEN).when(letter == ASKS, asks).when(letter == REPLIES, replies).otherwise(state).cast("tinyint")
 
-    A question before the last one was answered breaks the run; a reply ends the wait.
-    """
-    step = lambda state, x: (
-        F.when(state == BROKEN, BROKEN)
-        .when(x == ASKS, F.when(state == WAITING, BROKEN).otherwise(WAITING))
-        .when(x == REPLIES, IDLE)
-        .otherwise(state)
-    )
-    return F.aggregate(letters, F.lit(entry), step)
 
+def _transition_map(turns: Column) -> Column:
+    """Where a block's ordered turns lead from each entry state; a turn that doesn't follow its predecessor breaks the run."""
+
+    def step(held: Column, turn: Column) -> Column:
+        letter = F.when(turn["idx"] == held["last"] + 1, turn["letter"]).when(held["last"].isNull(), turn["letter"]).otherwise(F.lit(BREAKS))
+        return F.struct(*(_after(held[n], letter).alias(n) for n in ("none", "answered", "waiting")), turn["idx"].alias("last"))
+
+    state = lambda s, n: F.lit(s).cast("tinyint").alias(n)
+    return F.aggregate(turns, F.struct(state(NONE, "none"), state(ANSWERED, "answered"), state(WAITING, "waiting"), F.lit(None).cast("bigint").alias("last")), step)
 
-def _calls_tied(facts: DataFrame) -> DataFrame:
-    """Per run: whether each tool turn names an earlier call and each call has a later tool turn."""
-    made = facts.where(F.col("calls").isNotNull()).select("run_id", F.explode("calls").alias("call"), F.col("idx").alias("call_at"), F.lit(None).cast("bigint").alias("tool_at"))
-    named = facts.where("is_tool").select("run_id", F.col("tool_call_id").alias("call"), F.lit(None).cast("bigint").alias("call_at"), F.col("idx").alias("tool_at"))
-    both = made.unionByName(named).groupBy("run_id", "call").agg(
-        F.min("call_at").alias("first_call"), F.max("call_at").alias("last_call"), F.min("tool_at").alias("first_tool"), F.max("tool_at").alias("last_tool")
+
+def run_status(turns: DataFrame) -> DataFrame:
+    """One row per run of ``turns``: (run_id, whole BOOLEAN, n_turns)."""
+    idx = F.col("idx").cast("bigint")
+    block = F.coalesce(F.floor(idx / BLOCK), F.lit(-1)).cast("bigint")
+    none = F.lit(None).cast("bigint")
+    fact = lambda kind, block, call, turn, call_at, tool_at: F.struct(
+        F.lit(kind).alias("kind"), block.alias("block"), call.alias("call"), turn.alias("turn"), call_at.alias("call_at"), tool_at.alias("tool_at")
+    )
+    turn = F.struct(F.col("idx"), F.col("turn_id"), F.col("letter"))
+    no_turn = F.lit(None).cast("struct<idx: bigint, turn_id: bigint, letter: tinyint>")
+    read = turns.where(F.col("run_id").isNotNull()).select(
+        "run_id", idx.alias("idx"), F.col("turn_id").cast("bigint").alias("turn_id"), _letter().alias("letter"), block.alias("block"), (clean_role(F.col("role")) == "tool").alias("is_tool"),
+        F.col("tool_call_id"), F.when(F.size("tool_calls") > 0, F.transform("tool_calls", lambda c: c["id"])).alias("calls"),
+    )
+    facts = F.concat(
+        F.array(fact(0, F.col("block"), F.lit(None).cast("string"), turn, none, none)),
+        F.coalesce(F.transform("calls", lambda c: fact(1, none, c, no_turn, F.col("idx"), none)), F.array()),
+        F.when(F.col("is_tool"), F.array(fact(1, none, F.col("tool_call_id"), no_turn, none, F.col("idx")))).otherwise(F.array()),
     )
-    tied = (
+    flat = read.select("run_id", F.explode(facts).alias("f")).select("run_id", "f.*")
+    # a set leaves one of a turn's deliveries
+    grouped = flat.groupBy("run_id", "kind", "block", "call").agg(
+        F.array_sort(F.collect_set("turn")).alias("turns"),
+        F.min("call_at").alias("first_call"), F.max("call_at").alias("last_call"), F.min("tool_at").alias("first_tool"), F.max("tool_at").alias("last_tool"),
+    )
+    closed = (
         F.col("call").isNotNull()
         & F.when(F.col("first_tool").isNotNull(), F.coalesce(F.col("first_call") < F.col("first_tool"), F.lit(False))).otherwise(True)
         & F.when(F.col("last_call").isNotNull(), F.coalesce(F.col("last_tool") > F.col("last_call"), F.lit(False))).otherwise(True)
     )
-    return both.groupBy("run_id").agg(F.bool_and(tied).alias("tied"))
+    mapped = grouped.select(
+        "run_id", F.when(F.col("kind") == 1, closed).alias("tied"), F.size("turns").alias("n"),
+        F.when(F.col("kind") == 0, F.struct("block", F.element_at("turns", 1)["idx"].alias("low"), _transition_map(F.col("turns")).alias("map"))).alias("b"),
+    )
 
+    def through(held: Column, b: Column) -> Column:
+        follows = F.when(held["last"].isNull(), b["low"] <= 1).otherwise(b["low"] == held["last"] + 1)
+        led = F.when(held["state"] == WAITING, b["map"]["waiting"]).when(held["state"] == ANSWERED, b["map"]["answered"]).when(held["state"] == NONE, b["map"]["none"]).otherwise(F.lit(BROKEN).cast("tinyint"))
+        return F.struct(F.when(F.coalesce(follows, F.lit(False)), led).otherwise(F.lit(BROKEN).cast("tinyint")).alias("state"), b["map"]["last"].alias("last"))
 
-def run_status(turns: DataFrame) -> DataFrame:
-    """One row per run of ``turns``: (run_id, whole BOOLEAN, n_turns)."""
-    facts = _turn_facts(turns)
-    block = F.coalesce(F.floor(F.col("idx") / BLOCK), F.lit(-1)).cast("bigint")
-    placed = facts.select("run_id", block.alias("block"), "turn_id", "idx", "known_role", "empty", "letter").repartition("run_id", "block")
-    once = placed.groupBy("run_id", "block", "turn_id").agg(*(F.min(c).alias(c) for c in ("idx", "known_role", "empty", "letter")))
-    letters = F.transform(F.array_sort(F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("idx", "turn_id", "letter")))), lambda t: t["letter"])
-    blocks = once.groupBy("run_id", "block").agg(
-        F.count("*").alias("n"),
-        F.count("idx").alias("n_idx"),
-        F.count_distinct("idx").alias("n_distinct"),
-        F.min("idx").alias("low"),
-        F.max("idx").alias("high"),
-        F.bool_and("known_role").alias("roles"),
-        F.bool_and("empty").alias("all_empty"),
-        F.count_if(F.col("letter") == ASKS).alias("asks"),
-        letters.alias("letters"),
-    )
-    mapped = blocks.withColumns({"from_idle": _run_of_letters(F.col("letters"), IDLE), "from_waiting": _run_of_letters(F.col("letters"), WAITING)}).drop("letters")
-    # compose the blocks' maps in order; a broken state stays broken
-    through = lambda state, b: F.when(state == BROKEN, BROKEN).when(state == WAITING, b["from_waiting"]).otherwise(b["from_idle"])
+    start = F.struct(F.lit(NONE).cast("tinyint").alias("state"), none.alias("last"))
     runs = mapped.groupBy("run_id").agg(
-        F.sum("n").alias("n_turns"),
-        F.sum("n_idx").alias("n_idx"),
-        F.sum("n_distinct").alias("n_distinct"),
-        F.min("low").alias("low"),
-        F.max("high").alias("high"),
-        F.bool_and("roles").alias("roles"),
-        F.bool_and("all_empty").alias("all_empty"),
-        F.sum("asks").alias("asks"),
-        F.aggregate(F.array_sort(F.collect_list(F.struct("block", "from_idle", "from_waiting"))), F.lit(IDLE), through).alias("last_state"),
-    )
-    ordered = (F.col("n_idx") == F.col("n_turns")) & (F.col("n_distinct") == F.col("n_turns")) & (F.col("low") <= 1) & (F.col("high") - F.col("low") + 1 == F.col("n_turns"))
-    sound = ordered & F.col("roles") & ~F.col("all_empty") & (F.col("asks") > 0) & (F.col("last_state") == IDLE)
-    return runs.join(_calls_tied(facts), "run_id", "left").select("run_id", (F.coalesce(sound, F.lit(False)) & F.coalesce("tied", F.lit(True))).alias("whole"), "n_turns")
+        F.sum(F.when(F.col("b").isNotNull(), F.col("n")).otherwise(0)).alias("n_turns"), F.bool_and("tied").alias("tied"),
+        F.aggregate(F.array_sort(F.collect_list("b")), start, through)["state"].alias("state"),
+    )
+    return runs.select("run_id", ((F.col("state") == ANSWERED) & F.coalesce("tied", F.lit(True))).alias("whole"), "n_turns")
 
 
 def dropped_runs(traces: DataFrame, turns: DataFrame) -> DataFrame:

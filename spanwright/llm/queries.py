@@ -116,8 +116,7 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "doc_reviews"))
 
 
-P3_FOUND_SQL = r"""
-WITH once AS (SELECT DISTINCT ON (turn_id) run_id, turn_id, idx,
+_P3 = r"""once AS (SELECT DISTINCT ON (turn_id) run_id, turn_id, idx, thinking, content,
     CASE WHEN lower(trim(role, E' \t\n\r')) = 'agent' THEN 'assistant' ELSE lower(trim(role, E' \t\n\r')) END AS role,
     coalesce(subagent_depth, 0) AS depth, tool_calls, tool_call_id,
     (content IS NULL OR trim(content, E' \t\n\r') = '') AND coalesce(len(tool_calls), 0) = 0 AS empty
@@ -131,11 +130,16 @@ ties AS (SELECT run_id, id, min(c) AS c0, max(c) AS c1, min(t) AS t0, max(t) AS
 untied AS (SELECT DISTINCT run_id FROM ties WHERE id IS NULL OR (t0 IS NOT NULL AND (c0 IS NULL OR c0 >= t0)) OR (c1 IS NOT NULL AND (t1 IS NULL OR t1 <= c1))),
 talk AS (SELECT run_id, role, lead(role) OVER (PARTITION BY run_id ORDER BY idx, turn_id) AS next_role FROM once
     WHERE depth = 0 AND (role = 'user' OR (role = 'assistant' AND NOT empty))),
-unanswered AS (SELECT DISTINCT run_id FROM talk WHERE role = 'user' AND next_role IS DISTINCT FROM 'assistant')
-SELECT DISTINCT t.run_id FROM traces t LEFT JOIN counts c ON c.run_id = t.run_id
+unanswered AS (SELECT DISTINCT run_id FROM talk WHERE role = 'user' AND next_role IS DISTINCT FROM 'assistant'),
+dropped AS (SELECT DISTINCT t.run_id FROM traces t LEFT JOIN counts c ON c.run_id = t.run_id
 WHERE t.run_id IS NOT NULL AND (c.run_id IS NULL OR c.blank OR c.d <> c.n OR c.lo > 1 OR c.hi - c.lo + 1 <> c.n OR NOT c.roles OR c.users = 0
-  OR t.run_id IN (SELECT run_id FROM untied) OR t.run_id IN (SELECT run_id FROM unanswered))
-"""
+  OR t.run_id IN (SELECT run_id FROM untied) OR t.run_id IN (SELECT run_id FROM unanswered)))"""
+P3_FOUND_SQL = f"WITH {_P3} SELECT run_id FROM dropped"
+P3_CONVERSATIONS_SQL = f"""WITH {_P3},
+kept AS (SELECT * FROM once WHERE run_id IN (SELECT run_id FROM traces) AND run_id NOT IN (SELECT run_id FROM dropped)),
+tied AS (SELECT k.turn_id, max(c.idx) AS call_idx FROM kept k JOIN calls c ON c.run_id = k.run_id AND c.id = k.tool_call_id AND c.idx < k.idx WHERE k.role = 'tool' GROUP BY 1)
+SELECT run_id, CAST(k.idx - min(k.idx) OVER (PARTITION BY run_id) AS BIGINT) AS position, CAST(k.idx AS BIGINT) AS idx, role, depth, thinking, content, CAST(coalesce(len(tool_calls), 0) AS INT) AS n_calls, tool_call_id, CAST(t.call_idx AS BIGINT) AS call_idx
+FROM kept k LEFT JOIN tied t ON t.turn_id = k.turn_id"""
 
 P5_FOUND_SQL = r"""
 WITH once AS (SELECT DISTINCT ON (segment_id) segment_id, messages FROM segments WHERE segment_id IS NOT NULL),
@@ -181,4 +185,4 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_scores": p9_scores,
 }
-SQL = {"p1_found": P1_FOUND_SQL, "p1_pairs": P1_PAIRS_SQL, "p3_found": P3_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p5_rejoined": P5_REJOINED_SQL, "p7_round_trip": P7_ROUND_TRIP_SQL}
+SQL = {"p3_conversations": P3_CONVERSATIONS_SQL, "p1_found": P1_FOUND_SQL, "p1_pairs": P1_PAIRS_SQL, "p3_found": P3_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p5_rejoined": P5_REJOINED_SQL, "p7_round_trip": P7_ROUND_TRIP_SQL}
