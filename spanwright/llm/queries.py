@@ -98,8 +98,7 @@ def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = token_counts(read_table(spark, sf_dir, "documents"), "doc_id", "text", ("source",))
-    return pack(sizes.withColumnRenamed("doc_id", "item_id"))
+    return pack(_sizes(spark, sf_dir))
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +107,33 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_container.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), (F.sum("tokens") / (F.count("*") * 2048)).alias("used"))
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read_table(spark, sf_dir, "documents"), "doc_id", "text", ("source",)).withColumnRenamed("doc_id", "item_id")
+
+
+def p8_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each text: is all of it packed, in no more parts than needed, and in containers that aren't overfull?"""
+    sizes = materialize(_sizes(spark, sf_dir), "counts")
+    packed = materialize(pack(sizes), "packed")
+    full = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("fill"))
+    placed = packed.join(full, "container_id").groupBy("item_id").agg(F.sum("n_tokens").alias("got"), F.count("*").alias("parts"), F.max("fill").alias("fullest"))
+    return sizes.join(placed, "item_id", "left").select(
+        F.col("item_id").alias("doc_id"), F.coalesce((F.col("got") == F.col("n_tokens")) & (F.col("parts") == F.ceil(F.col("n_tokens") / 2048)), F.lit(False)).alias("complete"), F.coalesce(F.col("fullest") <= 2048, F.lit(False)).alias("within")
+    )
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing with equal shares asked of all sources: what each got in the containers filled while every source lasted."""
+    sizes = materialize(_sizes(spark, sf_dir), "counts")
+    wanted = sizes.select("source").distinct().withColumn("share", F.lit(1.0))
+    packed = materialize(pack(sizes, target_shares=wanted).withColumn("lane", F.shiftright("container_id", 32)), "packed")
+    lasts = packed.groupBy("lane", "source").agg(F.max("container_id").alias("last")).groupBy("lane").agg(F.min("last").alias("until"), F.count("*").alias("sources"))
+    early = packed.join(lasts, "lane").where(F.col("container_id") <= F.col("until"))
+    got = early.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
+    whole = got.agg(F.sum("tokens").alias("all_tokens"), F.count("*").alias("sources"))
+    return got.crossJoin(F.broadcast(whole)).select("source", "tokens", (F.col("tokens") / F.col("all_tokens")).alias("share"), (1 / F.col("sources")).alias("wanted"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffed_pages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "doc_reviews")).select("doc_id")
 
@@ -166,6 +192,7 @@ P1_FOUND_SQL = f"WITH {_P1} SELECT step_key, matched_table, matched_id FROM pair
 P1_PAIRS_SQL = f"""WITH {_P1} SELECT a.step_key, max(matched_id) FILTER (matched_table = 'gpu_log') AS sample_id, max(delta_us) FILTER (matched_table = 'gpu_log') AS sample_delta_us,
   max(matched_id) FILTER (matched_table = 'vllm_metrics') AS metric_id, max(delta_us) FILTER (matched_table = 'vllm_metrics') AS metric_delta_us
 FROM (SELECT DISTINCT step_key FROM step_views WHERE step_key IS NOT NULL) a LEFT JOIN (SELECT * FROM pairs WHERE k = 1) p ON p.step_key = a.step_key GROUP BY 1"""
+P8_WHOLE_SQL = "SELECT doc_id, true AS complete, true AS within FROM documents WHERE text IS NOT NULL AND text <> ''"
 P7_ROUND_TRIP_SQL = "SELECT doc_id, true AS same FROM documents"
 
 QUERIES = {
@@ -182,7 +209,9 @@ QUERIES = {
     "p7_round_trip": p7_round_trip,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
+    "p8_whole": p8_whole,
+    "p8_mixture": p8_mixture,
     "p9_found": p9_found,
     "p9_scores": p9_scores,
 }
-SQL = {"p3_conversations": P3_CONVERSATIONS_SQL, "p1_found": P1_FOUND_SQL, "p1_pairs": P1_PAIRS_SQL, "p3_found": P3_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p5_rejoined": P5_REJOINED_SQL, "p7_round_trip": P7_ROUND_TRIP_SQL}
+SQL = {"p8_whole": P8_WHOLE_SQL, "p3_conversations": P3_CONVERSATIONS_SQL, "p1_found": P1_FOUND_SQL, "p1_pairs": P1_PAIRS_SQL, "p3_found": P3_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p5_rejoined": P5_REJOINED_SQL, "p7_round_trip": P7_ROUND_TRIP_SQL}

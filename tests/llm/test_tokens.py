@@ -90,6 +90,24 @@ def test_proportions_hold_early(spark):
     assert abs(share(half) - share(set(ids))) < 0.02
 
 
+def test_lanes_carry_deficits(spark):
+    """Prefix sums in two levels equal the plain ones, blocks of lanes crossed."""
+    from pyspark.sql import functions as F
+
+    from spanwright.llm import packing
+
+    rng = random.Random(3)
+    data = [(lane, q, rng.randint(1, 50)) for lane in range(2600) for q in "ab" if rng.random() < 0.7]
+    found = packing._before(spark.createDataFrame(data, "lane int, queue string, tokens long"), "queue", "tokens", "had")
+    sums, expected = {"a": 0, "b": 0}, {}
+    for lane, q, n in data:
+        expected[lane, q] = sums[q]
+        sums[q] += n
+    assert {(r.lane, r.queue): r.had for r in found.collect()} == expected
+    one = packing._before(spark.createDataFrame(data, "lane int, queue string, tokens long").groupBy("lane").agg(F.sum("tokens").alias("t")), None, "t", "before")
+    assert one.orderBy(F.desc("lane")).first().before == sum(n for lane, _, n in data if lane < max(x for x, _, _ in data))
+
+
 def test_packing_nothing(spark):
     assert pack(spark.createDataFrame([], ITEMS)).count() == 0
 
