@@ -24,18 +24,6 @@ def planted_match(text: Column) -> Column:
     return F.when(error & (act | retry), "strict").when(error | retry, "near").otherwise("none")
 
 
-def lite_reason(body: Column, n_source: Column) -> Column:
-    """Why a pull request is too much for a light task; null to keep it."""
-    low = F.lower(F.coalesce(body, F.lit("")))
-    return (
-        F.when(n_source != 1, "lite_not_single_source_file")
-        .when(word_count(low) < 40, "lite_problem_too_short")
-        .when(low.rlike(r"!\[[^\]]*\]\(|<img\s"), "lite_has_image")
-        .when(low.rlike(r"\bhttps?://(?!github\.com/)"), "lite_has_external_link")
-        .when(low.rlike(r"\b[a-f0-9]{7,40}\b"), "lite_has_commit_sha")
-    )
-
-
 def trusted_pass(reward: Column, parse_status: Column, trustworthy: Column, timed_out: Column) -> Column:
     """Whether a rollout passed; null when its verdict can't be trusted. A timeout is a loss."""
     doubtful = F.coalesce(parse_status.isin("no_model_patch", "fallback_exitcode"), F.lit(False)) | F.coalesce(~trustworthy, F.lit(False))

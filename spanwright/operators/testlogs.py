@@ -99,6 +99,31 @@ def runner_of(log: Column) -> Column:
     )
 
 
+#: What names a runner in a test command, in the order asked, and the runner of a language.
+RUNNER_MARKS = (("pytest", r"pytest"), ("go", r"\bgo\s+test\b"), ("cargo", r"\bcargo\s+test\b"), ("jest", r"jest|mocha|vitest|npm test|yarn test|pnpm test"))
+LANGUAGE_RUNNERS = {"python": "pytest", "go": "go", "rust": "cargo", "node": "jest"}
+
+
+def runner_of_command(commands: Column, language: Column | None = None) -> Column:
+    """The runner that test commands (one text) name, else that of the language, else ``unknown``."""
+    low = F.lower(F.coalesce(commands, F.lit("")))
+    named = F.coalesce(*(F.when(low.rlike(mark), runner) for runner, mark in RUNNER_MARKS))
+    if language is None:
+        return F.coalesce(named, F.lit("unknown"))
+    by_language = F.coalesce(*(F.when(F.lower(language) == k, v) for k, v in LANGUAGE_RUNNERS.items()))
+    return F.coalesce(named, by_language, F.lit("unknown"))
+
+
+def parsed_logs(logs: DataFrame) -> DataFrame:
+    """Statuses of logs (log_id, runner, log), each read by its runner's parser; a log of an unknown runner has none."""
+    parsers = {"pytest": pytest_status, "go": go_status, "cargo": cargo_status, "jest": jest_status}
+    found = None
+    for runner, parse in parsers.items():
+        part = parse(logs.where(F.col("runner") == runner).select("log_id", "log"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def transitions(before: DataFrame, after: DataFrame) -> DataFrame:
     """fail_to_pass and pass_to_pass tests of (log_id, test, status) before and after; a test new afterwards is neither."""
     joined = before.withColumnRenamed("status", "pre").join(after.withColumnRenamed("status", "post"), ["log_id", "test"], "left")

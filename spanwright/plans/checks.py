@@ -70,11 +70,6 @@ def q_c09_tri_state(spark, sf_dir):
     return curves.select("model", "task", S._outside(F.col("pass1"), F.col("n32"), F.col("c32")).alias("outside"), S._near_zero(F.col("pass1"), F.col("n32"), F.col("c32")).alias("near_zero"))
 
 
-def q_c13_lite_reason(spark, sf_dir):
-    docs = view(spark, sf_dir, "documents").where(F.col("text").isNotNull())
-    return docs.groupBy("kind", C.lite_reason(F.col("text"), 1 + F.col("doc_id") % 4 % 2).alias("reason")).agg(F.count("*").alias("n"))
-
-
 def q_c18_titles(spark, sf_dir):
     k = F.col("o_orderkey") % 9
     titles = ("Back-port the fix", "Handle release of locks", "Fix crash", "merge main into dev", "Sync stable", "Resync offsets", "re-sync offsets", "Merging results", "Bumpy road")

@@ -40,6 +40,30 @@ SELECT a.* FROM {v_attempts} a LEFT JOIN (
 WHERE a.stratum = 'stage1' OR z.t IS NOT NULL""",
     "v_task_caps": """
 SELECT DISTINCT task, concat('c', user_id % 6) AS capability FROM {v_attempts}""",
+    # documents as pull requests and commits: what they say is their text, how they stand a digest of their id
+    "v_pulls": """
+SELECT number, split_part(text, chr(10), 1) AS title, concat(text, chr(10), CASE WHEN substr(m, 1, 1) < '2' THEN '' WHEN substr(m, 1, 1) < '7' THEN 'Fixes #31' WHEN substr(m, 1, 1) < '9' THEN '<!-- closes #5 --> nothing'
+    WHEN substr(m, 1, 1) < 'c' THEN 'Resolves https://github.com/Acme/Widget/issues/77' WHEN substr(m, 1, 1) < 'e' THEN 'closes https://github.com/other/repo/issues/7' ELSE 'fixed [#12](x), see #3' END) AS body,
+  substr(m, 2, 1) = '0' AS is_draft, CASE WHEN substr(m, 3, 1) <> '0' THEN '2024-01-01' END AS merged_at, substr(m, 4, 1) = '0' AS no_files, CASE WHEN substr(m, 5, 1) < '4' THEN 0 WHEN substr(m, 5, 1) < 'd' THEN 2 END AS n_fail_to_pass,
+  CASE WHEN substr(m, 6, 1) = '0' THEN 0 WHEN substr(m, 6, 1) = '1' THEN 2 ELSE 1 END AS n_parents, CASE WHEN substr(m, 7, 1) = '0' THEN 'Renovate Bot' ELSE 'Dev' END AS author_name, text, m
+FROM (SELECT doc_id AS number, text, md5(concat('pull ', doc_id)) AS m FROM {documents} WHERE text IS NOT NULL)""",
+    # every file holds the whole text, as a test with its functions named so
+    "v_patch_files": """
+SELECT number, k, path, CASE WHEN path LIKE '%test%' THEN replace(text, 'def ', 'def test_') ELSE text END AS content
+FROM (SELECT number, k, text, CASE WHEN substr(m, 10 + k, 1) < '4' THEN 'tests/test_core.py' WHEN substr(m, 10 + k, 1) < '6' THEN 'pkg/core_test.go' WHEN substr(m, 10 + k, 1) < '7' THEN 'docs/test/a.md'
+    WHEN substr(m, 10 + k, 1) < '9' THEN '.github/workflows/ci.yml' WHEN substr(m, 10 + k, 1) < 'b' THEN 'src/trim_rows.py' WHEN substr(m, 10 + k, 1) < 'd' THEN 'src/view.ts' ELSE concat('lib/part', k, '.py') END AS path
+  FROM {v_pulls} CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2), (3)) AS t(k)) WHERE NOT no_files AND (k = 0 OR substr(m, 20 + k, 1) < 'a'))""",
+    "v_tasks": """
+SELECT task, CASE WHEN substr(m, 1, 1) = '0' THEN NULL WHEN substr(m, 1, 1) = '1' THEN 'not = = toml' WHEN substr(m, 1, 1) = '2' THEN concat('name = "x"', chr(10), '[metadata]', chr(10), 'repo2env = "bad"')
+    ELSE concat('[metadata.repo2env.', CASE WHEN substr(m, 2, 1) < '8' THEN 'pr' ELSE 'commit' END, '_runtime]', chr(10), 'base_commit = "', substr(base, 1, CASE WHEN substr(m, 3, 1) = '0' THEN 12 ELSE 40 END), '"', chr(10), 'fail_to_pass = [', ids, ']') END AS task_toml,
+  concat('FROM base', chr(10), 'RUN git reset --hard ', CASE WHEN substr(m, 4, 1) < '3' THEN 'HEAD' ELSE base END, chr(10), 'RUN git remote remove origin && git branch -D x && git tag -d y && git reflog expire', CASE WHEN substr(m, 5, 1) < '4' THEN '' ELSE ' && git gc --prune=now' END,
+    chr(10), 'RUN git clean ', CASE WHEN substr(m, 6, 1) < '3' THEN '-fdx' WHEN substr(m, 6, 1) < '6' THEN '--exclude=x -fd' ELSE '-fd' END, chr(10), CASE WHEN substr(m, 7, 1) < '8' THEN 'RUN apt-get install -y tmux' ELSE '# tmux is not installed' END, chr(10), '# ', replace(text, chr(10), concat(chr(10), '# '))) AS dockerfile,
+  concat('set -e', chr(10), CASE WHEN substr(m, 8, 1) < '3' THEN 'pytest' ELSE concat('git apply - <<EOF', chr(10), '+++ b/tests/test_core.py', chr(10), '+', replace(replace(text, 'def ', 'def test_'), chr(10), concat(chr(10), '+')), chr(10), 'EOF') END) AS test_sh,
+  CASE WHEN substr(m, 9, 1) < '3' THEN ' ' WHEN substr(m, 9, 1) < '6' THEN concat('+++ b/tests/test_core.py', chr(10), '+x') ELSE concat('+++ b/src/a.py', chr(10), '+x') END AS oracle,
+  CASE WHEN substr(m, 10, 1) < '3' THEN 'oops' WHEN substr(m, 10, 1) < '6' THEN '["other"]' ELSE concat('[', ids, ']') END AS f2p_json
+FROM (SELECT doc_id AS task, text, md5(concat('task ', doc_id)) AS m, concat(md5(concat('base ', doc_id)), '01234567') AS base,
+    CASE WHEN substr(md5(concat('ids ', doc_id)), 1, 1) < '3' THEN '' WHEN substr(md5(concat('ids ', doc_id)), 1, 1) < '9' THEN '"tests/test_core.py::test_load_rows"' WHEN substr(md5(concat('ids ', doc_id)), 1, 1) < 'c' THEN '"TestTrim/sub", "mod::trim_spans"'
+      ELSE '"tests/other.py::test_trim_turns[1]"' END AS ids FROM {documents} WHERE text IS NOT NULL)""",
     "v_turns": """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY ingested_at) AS rn FROM {turns}) WHERE rn = 1""",
 }
