@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,15 +105,20 @@ def span_kinds(tokens: DataFrame) -> DataFrame:
 
 
 def span_sums(tokens: DataFrame) -> DataFrame:
-    """Sums of both sides' log probabilities over each span: tokens find their span by running sums, without a range join."""
-    running = lambda c: F.sum(c).over(Window.partitionBy("ex_id", "side").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
-    ends = byte_ends(_slim(tokens, "logprob")).withColumn("total", running("logprob"))
-    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
-    met = ends.groupBy("ex_id", "byte_end", "occurrence").agg(of("student", "idx").alias("s_last"), of("teacher", "idx").alias("t_last"), of("student", "total").alias("s_total"), of("teacher", "total").alias("t_total"))
-    order = Window.partitionBy("ex_id").orderBy("s_last")
-    both = met.where(F.col("s_last").isNotNull() & F.col("t_last").isNotNull())
-    step = lambda c: F.col(c) - F.lag(c, 1, 0.0).over(order)
-    return both.select("ex_id", (F.row_number().over(order) - 1).alias("span_no"), step("s_total").alias("s_sum"), step("t_total").alias("t_sum"))
+    """Sums of both sides' log probabilities over each span.
+
+    A token's span is the number of common ends before it, counted over the tokens of its side; so each span is summed
+    by itself, without a range join. All steps share one exchange by ``ex_id``.
+    """
+    ends = byte_ends(_slim(tokens, "logprob"))
+    meeting = Window.partitionBy("ex_id", "byte_end", "occurrence")
+    met = ends.withColumn("met", ((F.min("side").over(meeting) != F.max("side").over(meeting)) & F.col("side").isin("student", "teacher")).cast("int"))
+    stream = Window.partitionBy("ex_id", "side").orderBy("idx")
+    before = F.coalesce(F.sum("met").over(stream.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = met.withColumns({"span_no": before, "spans": F.sum("met").over(Window.partitionBy("ex_id", "side"))})
+    of = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("logprob"))), F.lit(0.0))
+    whole = placed.where(F.col("span_no") < F.col("spans"))  # past the last common end there is no span
+    return whole.groupBy("ex_id", "span_no").agg(of("student").alias("s_sum"), of("teacher").alias("t_sum"))
 
 
 def exact_map(vocab: DataFrame) -> DataFrame:
@@ -162,9 +171,36 @@ def surrogate(rows: DataFrame) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, key: str, value: Column, by: str) -> DataFrame:
-    """SHA-256 over ``id:hex`` lines in the order of the numeric ids, one per ``by``."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("i"), F.lower(F.hex(value)).alias("h")))), lambda x: F.concat_ws(":", x["i"].cast("string"), x["h"]))
-    return rows.groupBy(by).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("sha256"))
+    """SHA-256 over ``id:hex`` lines in the order of the numeric ids, one per ``by``.
+
+    The hash is fed line by line from sorted batches, so no list of the ids is ever held.
+    """
+    lines = rows.select(F.col(by).cast("string").alias("by"), F.col(key).cast("bigint").alias("id"), F.concat(F.col(key).cast("string"), F.lit(":"), F.lower(F.hex(value))).alias("line"))
+    ordered = lines.where(F.col("line").isNotNull()).repartition("by").sortWithinPartitions("by", "id", "line")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["by", "sha256"]
+        row = lambda: pa.record_batch([pa.array([at], pa.string()), pa.array([held.hexdigest()], pa.string())], names=names)
+        at, held = None, None
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            a = 0
+            while a < len(keys):
+                b = a + 1
+                while b < len(keys) and keys[b] == keys[a]:
+                    b += 1
+                if held is None or keys[a] != at:
+                    if held is not None:
+                        yield row()
+                    at, held = keys[a], hashlib.sha256()
+                else:
+                    held.update(b"\n")
+                held.update("\n".join(batch.column(2).slice(a, b - a).to_pylist()).encode())
+                a = b
+        if held is not None:
+            yield row()
+
+    return ordered.mapInArrow(work, "by string, sha256 string").withColumnRenamed("by", by)
 
 
 def masked_labels(prompt: Column, action: Column, limit: int) -> Column:

@@ -72,17 +72,26 @@ def verification_points(largest: Column, steps: Column, visited: Column, want: i
 
 
 def label_spans(lengths: Column, supervised: Column) -> Column:
-    """[start, end) of the supervised turns among tokens, from each turn's token count."""
-    ends = F.transform(F.sequence(F.lit(1), F.size(lengths)), lambda i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, x: a + x.cast("int")))
-    rows = F.arrays_zip(ends.alias("e"), lengths.alias("n"), supervised.alias("s"))
-    return F.transform(F.filter(rows, lambda r: r["s"]), lambda r: F.struct((r["e"] - r["n"]).alias("start"), r["e"].alias("end")))
+    """[start, end) of the supervised turns among tokens, from each turn's token count, in one pass over the turns."""
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int>>").alias("spans"))
+
+    def step(held: Column, turn: Column) -> Column:
+        end = held["at"] + turn["n"].cast("int")
+        return F.struct(end.alias("at"), F.when(turn["s"], F.array_append(held["spans"], F.struct(held["at"].alias("start"), end.alias("end")))).otherwise(held["spans"]).alias("spans"))
+
+    return F.aggregate(F.arrays_zip(lengths.alias("n"), supervised.alias("s")), empty, step, lambda held: held["spans"])
 
 
 def dropped_turns(first: Column, second: Column, limit: int) -> Column:
-    """The fewest leading turns to drop so that what is left fits ``limit`` by both token counts."""
-    total = lambda xs, i: F.aggregate(F.slice(xs, i + 1, F.size(xs)), F.lit(0), lambda a, x: a + x.cast("int"))
-    fits = F.filter(F.sequence(F.lit(0), F.size(first)), lambda i: (total(first, i) <= limit) & (total(second, i) <= limit))
-    return F.array_min(fits)
+    """The fewest leading turns to drop so that what is left fits ``limit`` by both token counts, in one pass over the turns."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + x.cast("int"))
+
+    def step(held: Column, turn: Column) -> Column:
+        fits = (held["a"] <= limit) & (held["b"] <= limit)
+        less = lambda of, x: F.when(fits, held[of]).otherwise(held[of] - x.cast("int")).alias(of)
+        return F.struct(less("a", turn["x"]), less("b", turn["y"]), F.when(fits, held["n"]).otherwise(held["n"] + 1).alias("n"))
+
+    return F.aggregate(F.arrays_zip(first.alias("x"), second.alias("y")), F.struct(total(first).alias("a"), total(second).alias("b"), F.lit(0).alias("n")), step, lambda held: held["n"])
 
 
 def ordered_results(results: DataFrame, calls: DataFrame) -> DataFrame:

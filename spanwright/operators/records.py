@@ -101,9 +101,17 @@ def without_trailing(ids: Column, special: Column) -> Column:
 
 
 def epoch_order(rows: DataFrame, key: str, epochs: int, seed: int) -> DataFrame:
-    """Each row once an epoch, reshuffled by a hash of key, epoch and seed."""
-    each = rows.select(F.col(key), F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
-    return each.withColumn("at", F.row_number().over(Window.partitionBy("epoch").orderBy(F.md5(F.concat_ws(":", key, "epoch", F.lit(seed))), key)) - 1)
+    """Each row once an epoch, reshuffled by a hash of key, epoch and seed.
+
+    The order is that of the hash, so the rows are cut by its first digits into 4,096 parts an epoch; a row's place is
+    its rank within its part after the sizes of the parts before.
+    """
+    each = rows.select(F.col(key), F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch")).withColumn("hash", F.md5(F.concat_ws(":", key, "epoch", F.lit(seed))))
+    placed = each.withColumn("part", F.left("hash", F.lit(3)))
+    ahead = Window.partitionBy("epoch").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("epoch", "part").agg(F.count("*").alias("n")).select("epoch", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("epoch", "part").orderBy("hash", key)) - 1
+    return placed.withColumn("rank", rank).join(sizes, ["epoch", "part"]).select(key, "epoch", (F.col("before") + F.col("rank")).cast("int").alias("at"))
 
 
 def mean_of_means(rows: DataFrame, group: str, value: str) -> DataFrame:

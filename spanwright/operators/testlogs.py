@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,8 +60,7 @@ def jest_status(logs: DataFrame) -> DataFrame:
     """Statuses of Jest-like output, named by file, enclosing headers and test.
 
     Whether a line is a header depends on the last test's indent in its file section only, so it is
-    a window; a header encloses a test when it is indented less and no later header that is indented
-    as little or less stands between them.
+    a window. Each section is then read once in order with a stack of its open headers.
     """
     rows = log_lines(logs).select("log_id", "line_no", F.regexp_replace("line", r"(?U)\s+$", "").alias("line")).where(F.col("line") != "")
     order = Window.partitionBy("log_id").orderBy("line_no")
@@ -77,16 +79,36 @@ def jest_status(logs: DataFrame) -> DataFrame:
     noise = F.ltrim("line").rlike(r"^(?:Tests:|Test Suites:|Snapshots:|Time:|Ran all|●|→|✗:)")
     header = (F.col("file") == "") & ~is_test & ~noise & F.col("of").isNotNull() & (last_indent.isNull() | (F.col("indent") < last_indent))
     marked = in_file.withColumns({"is_test": is_test, "is_header": F.coalesce(header, F.lit(False))})
-    headers = marked.where("is_header").select("log_id", "section", F.col("line_no").alias("h_no"), F.col("indent").alias("h_indent"), F.ltrim("line").alias("h_name"))
-    tests = marked.where("is_test").select("log_id", "section", "line_no", "indent", "of", "name", "glyph")
-    above = tests.join(headers, ["log_id", "section"]).where((F.col("h_no") < F.col("line_no")))
-    # going back from the test, a header encloses it if it is indented less than all later headers
-    back = Window.partitionBy("log_id", "line_no").orderBy(F.desc("h_no")).rowsBetween(Window.unboundedPreceding, -1)
-    open_ = above.withColumn("least_after", F.min("h_indent").over(back)).where((F.col("h_indent") < F.col("indent")) & (F.col("least_after").isNull() | (F.col("h_indent") < F.col("least_after"))))
-    chains = open_.groupBy("log_id", "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h_no", "h_name"))), lambda x: x["h_name"]), " > ").alias("chain"))
-    status = F.when(F.col("glyph").isin("✓", "√"), PASSED).when(F.col("glyph").isin("○", "◯"), SKIPPED).otherwise(FAILED)
-    full = tests.join(chains, ["log_id", "line_no"], "left").select("log_id", "line_no", F.concat_ws(" > ", "of", "chain", "name").alias("test"), status.alias("status"))
-    return _last(full)
+    useful = marked.where(F.col("is_header") | F.col("is_test")).select(
+        "log_id", "section", "line_no", "is_test", "indent", "of", F.when(F.col("is_test"), F.col("name")).otherwise(F.ltrim("line")).alias("text"), "glyph"
+    )
+    kind = {f.name: f.dataType.simpleString() for f in useful.schema}["log_id"]
+    sections = useful.repartition("log_id", "section").sortWithinPartitions("log_id", "section", "line_no")
+    return _last(sections.mapInArrow(_named_tests, f"log_id {kind}, line_no int, test string, status string"))
+
+
+def _named_tests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tests of sorted sections, each under the headers that are open where it stands: a header closes those indented as much or more."""
+    section: tuple | None = None
+    open_: list[tuple[int, str]] = []
+    status = {"✓": PASSED, "√": PASSED, "○": SKIPPED, "◯": SKIPPED}
+    for batch in batches:
+        at, rows = [], []
+        columns = [batch.column(c).to_pylist() for c in ("log_id", "section", "line_no", "is_test", "indent", "of", "text", "glyph")]
+        for i, (log, number, line, is_test, indent, of, text, glyph) in enumerate(zip(*columns)):
+            if (log, number) != section:
+                section, open_ = (log, number), []
+            if not is_test:
+                while open_ and open_[-1][0] >= indent:
+                    open_.pop()
+                open_.append((indent, text))
+                continue
+            chain = [h for n, h in open_ if n < indent]
+            at.append(i)
+            rows.append((line, " > ".join([of, *chain, text] if of is not None else [*chain, text]), status.get(glyph, FAILED)))
+        if rows:
+            lines, tests, found = zip(*rows)
+            yield pa.record_batch([batch.column(0).take(pa.array(at)), pa.array(lines, pa.int32()), pa.array(tests, pa.string()), pa.array(found, pa.string())], names=["log_id", "line_no", "test", "status"])
 
 
 def runner_of(log: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from spanwright.operators import support as S
 from spanwright.operators import telemetry as M
 from spanwright.plans.support import _rates
 from spanwright.plans.views import oracle, rounded, view
-from spanwright.runtime import shared_dir
+from spanwright.runtime import scratch
 from spanwright.sources import files, recorded, sinks
 
 
@@ -65,20 +63,17 @@ def q_a20_passing_rollouts(spark, sf_dir):
 def q_a21_recorded_prs(spark, sf_dir):
     """Orders as recorded pull requests, read back through the data source."""
     recorded.register(spark)
-    path = f"{shared_dir(spark)}/prs-{uuid.uuid4().hex}"
+    path = scratch(spark, "prs")
     k = F.col("o_orderkey")
     body = F.to_json(F.struct(k.alias("number"), F.lit("t").alias("title"), F.substring(F.col("o_orderdate").cast("string"), 1, 10).alias("merged_at"), F.when(k % 3 != 0, F.lit("b")).alias("base_sha"), (k % 5 == 0).alias("is_draft")))
-    view(spark, sf_dir, "orders").select(body.alias("value")).coalesce(1).write.text(path)
-    # the source reads lines of *.jsonl; text parts are named otherwise, so it's given the one part's path
-    part = spark.read.text(path).select("_metadata.file_path").first().file_path
-    part = urlparse(part).path
-    found = spark.read.format("recorded_prs").option("path", part).option("since", "1996-01-01").option("until", "1996-12-31").load()
+    view(spark, sf_dir, "orders").select(body.alias("value")).write.text(path)
+    found = spark.read.format("recorded_prs").option("path", path).option("pattern", "part-*").option("since", "1996-01-01").option("until", "1996-12-31").load()
     return found.select("number", "merged_at")
 
 
 def q_a25_bridge(spark, sf_dir):
     ids = F.concat_ws(",", F.collect_list(F.concat(F.lit('"'), F.col("p_partkey").cast("string"), F.lit('":"'), F.lower(F.hex("p_brand")), F.lit('"'))))
-    maps = view(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 4).alias("bucket")).agg(F.concat(F.lit("{"), ids, F.lit("}")).alias("value")).select(F.concat(F.lit("s"), F.col("bucket").cast("string")).alias("side"), "value")
+    maps = view(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 1000).alias("bucket")).agg(F.concat(F.lit("{"), ids, F.lit("}")).alias("value")).select(F.concat(F.lit("s"), F.col("bucket").cast("string")).alias("side"), "value")
     return A.bridge_bytes(maps).select("side", "token_id", F.col("bytes").cast("string").alias("text"))
 
 
@@ -93,7 +88,7 @@ def q_a33_seeded_subset(spark, sf_dir):
 
 def q_b15_report_round_trip(spark, sf_dir):
     """Rates written as a report and read back, the null ones too."""
-    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    path = scratch(spark, "report")
     rates = view(spark, sf_dir, "v_rollouts").groupBy("model", "task").agg(F.try_divide(F.count_if("passed"), F.nullif(F.count_if(F.col("rollout_index") > 8), F.lit(0))).alias("rate"))
     sinks.write_report(rates, path)
     return rounded(spark.read.schema("model string, task string, rate double").json(path))
@@ -237,7 +232,7 @@ SQL = {
     "q_a17_trials": "WITH a AS (SELECT DISTINCT trial_id AS trial, 1 AS k FROM step_views WHERE source = 'agent' UNION SELECT DISTINCT trial_id, 2 FROM step_views WHERE first_command_preview IS NOT NULL UNION SELECT DISTINCT trial_id, 3 FROM step_views WHERE endpoint IS NULL) SELECT trial, count(*) AS kinds FROM a GROUP BY 1",
     "q_a20_passing_rollouts": "WITH p AS (SELECT task, model, rollout_index FROM {v_rollouts} WHERE passed), l AS (SELECT * FROM p WHERE rollout_index % 5 = 0), r AS (SELECT * FROM p WHERE model = 'teacher' AND task NOT IN (SELECT task FROM l)) SELECT task, count(*) AS n FROM (SELECT * FROM l UNION ALL SELECT * FROM r) GROUP BY 1",
     "q_a21_recorded_prs": "SELECT CAST(o_orderkey AS INT) AS number, strftime(o_orderdate, '%Y-%m-%d') AS merged_at FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'",
-    "q_a25_bridge": "SELECT concat('s', p_partkey % 4) AS side, CAST(p_partkey AS INT) AS token_id, p_brand AS text FROM part",
+    "q_a25_bridge": "SELECT concat('s', p_partkey // 1000) AS side, CAST(p_partkey AS INT) AS token_id, p_brand AS text FROM part",
     "q_a31_cache_keys": """SELECT p_partkey, concat(left(md5(p_name), 12), '-', left(sha256(concat('{"size":', p_size, ',"brand":"', p_brand, '"}')), 8)) AS key FROM part""",
     "q_a33_seeded_subset": "SELECT doc_id FROM documents ORDER BY md5(concat(doc_id, ':5')) LIMIT 50",
     "q_b15_report_round_trip": "SELECT model, task, round(count(*) FILTER (passed) / nullif(count(*) FILTER (rollout_index > 8), 0), 9) AS rate FROM {v_rollouts} GROUP BY 1, 2",

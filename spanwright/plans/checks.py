@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,13 +13,13 @@ from spanwright.operators.mining import is_non_bug
 from spanwright.plans import diagnosis, repositories, tokens
 from spanwright.plans.support import _strata
 from spanwright.plans.views import oracle, rounded, view
-from spanwright.runtime import shared_dir
+from spanwright.runtime import materialize, scratch
 from spanwright.sources import files, sinks
 
 
 def _written(spark, df):
     """Lines as text files in the shared folder; their path."""
-    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    path = scratch(spark, "lines")
     df.write.text(path)
     return path
 
@@ -36,7 +35,7 @@ def q_a10_tolerant_lines(spark, sf_dir):
 
 
 def q_a11_marked_lines(spark, sf_dir):
-    kept = files.json_lines(spark, _written(spark, _lines(spark, sf_dir)), "a bigint, b string", "keep").cache()
+    kept = materialize(files.json_lines(spark, _written(spark, _lines(spark, sf_dir)), "a bigint, b string", "keep"), "marked")
     return kept.agg(F.count("*").alias("n"), F.count_if(F.col("_bad").isNotNull()).alias("bad"))
 
 
@@ -51,7 +50,7 @@ def q_a23_git_log(spark, sf_dir):
 
 def q_b06_resumed_log(spark, sf_dir):
     """A log appended to twice holds each rollout once."""
-    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    path = scratch(spark, "log")
     rows = view(spark, sf_dir, "v_rollouts").select("model", "task", "rollout_index", "passed")
     sinks.append_missing(rows.where("rollout_index <= 5"), path, ["model", "task", "rollout_index"])
     sinks.append_missing(rows, path, ["model", "task", "rollout_index"])
@@ -276,7 +275,7 @@ def q_w01_ledger(spark, sf_dir):
 
 def q_w06_replayed_once(spark, sf_dir):
     """Runs of a stream handled once each, though the stream is started twice."""
-    path = f"{shared_dir(spark)}/replayed-{uuid.uuid4().hex}"
+    path = scratch(spark, "replayed")
     for _ in range(2):
         streaming.replay_once(streaming.table_stream(spark, sf_dir, "traces"), ["run_id"], path, lambda df: df.where("run_id IS NOT NULL").select("run_id"))
     return spark.read.parquet(path)

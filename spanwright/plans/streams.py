@@ -10,13 +10,14 @@ from spanwright.plans.views import oracle, rounded, view
 
 
 def q_w02_minute_means(spark, sf_dir):
-    means = S.drained(S.minute_means(S.table_stream(spark, sf_dir, "gpu_log"), "3650 days"), "complete")
+    """Minutes that the watermark has closed; the last ten minutes of the stream stay open."""
+    means = S.drained(S.minute_means(S.table_stream(spark, sf_dir, "gpu_log")), "append")
     return rounded(means.withColumn("minute", F.unix_seconds("minute")), 6)
 
 
 def q_w02_sessions(spark, sf_dir):
-    """Stretches of sampling without a silence of twenty minutes, from the stream."""
-    found = S.drained(S.sessions(S.table_stream(spark, sf_dir, "gpu_log"), "20 minutes", "3650 days"), "complete")
+    """Stretches of sampling that a silence of twenty minutes has ended, ten minutes before the stream's latest sample or earlier."""
+    found = S.drained(S.sessions(S.table_stream(spark, sf_dir, "gpu_log")), "append")
     return found.groupBy("endpoint").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"), F.min(F.unix_micros("start")).alias("first_us"))
 
 
@@ -56,11 +57,13 @@ QUERIES = {name: f for name, f in dict(globals()).items() if name.startswith("q_
 SQL = {
     "q_w02_minute_means": """WITH g AS (SELECT *, CASE WHEN logged_at IS NULL OR logged_at = 0 OR isnan(logged_at) THEN CASE WHEN sampled_at = 0 THEN NULL ELSE sampled_at END ELSE logged_at END AS raw FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ingested_at) AS rn FROM gpu_log) WHERE rn = 1 AND error IS NULL),
 t AS (SELECT endpoint, gpu_util_pct, CAST(round(CASE WHEN raw > 1e11 THEN raw * 1e3 ELSE raw * 1e6 END) AS BIGINT) AS us FROM g WHERE raw IS NOT NULL)
-SELECT endpoint, us // 60000000 * 60 AS minute, count(*) AS n, round(avg(gpu_util_pct), 6) AS util FROM t GROUP BY 1, 2""",
+SELECT endpoint, us // 60000000 * 60 AS minute, count(*) AS n, round(avg(gpu_util_pct), 6) AS util FROM t WHERE (us // 60000000 + 1) * 60000000 <= (SELECT max(us) // 1000 * 1000 - 600000000 FROM t) GROUP BY 1, 2""",
     "q_w02_sessions": """WITH g AS (SELECT *, CASE WHEN logged_at IS NULL OR logged_at = 0 OR isnan(logged_at) THEN CASE WHEN sampled_at = 0 THEN NULL ELSE sampled_at END ELSE logged_at END AS raw FROM gpu_log),
 t AS (SELECT endpoint, CAST(round(CASE WHEN raw > 1e11 THEN raw * 1e3 ELSE raw * 1e6 END) AS BIGINT) AS us FROM g WHERE raw IS NOT NULL),
-l AS (SELECT endpoint, us, us - lag(us) OVER (PARTITION BY endpoint ORDER BY us) AS gap FROM t)
-SELECT endpoint, count(*) FILTER (gap IS NULL OR gap >= 1200000000) AS sessions, count(*) AS n, min(us) AS first_us FROM l GROUP BY 1""",
+l AS (SELECT endpoint, us, us - lag(us) OVER (PARTITION BY endpoint ORDER BY us) AS gap FROM t),
+s AS (SELECT *, count(*) FILTER (gap IS NULL OR gap >= 1200000000) OVER (PARTITION BY endpoint ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM l),
+h AS (SELECT endpoint, k, count(*) AS n, min(us) AS first_us, max(us) + 1200000000 AS ends FROM s GROUP BY 1, 2)
+SELECT endpoint, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS n, min(first_us) AS first_us FROM h WHERE ends <= (SELECT max(us) // 1000 * 1000 - 600000000 FROM t) GROUP BY 1""",
     "q_w04_stream_passk": "SELECT 'student' AS model, user_id AS task, 'stage1' AS stratum, count(*) AS n, count(*) FILTER (event_type IN ('purchase', 'click')) AS c FROM events WHERE event_type <> 'error' GROUP BY 2",
     "q_w05_stream_dedup": "SELECT run_id, count(DISTINCT turn_id) AS n FROM turns WHERE run_id IS NOT NULL GROUP BY 1",
     "q_w03_stream_rate": "WITH m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY metric_id ORDER BY ingested_at) AS rn FROM vllm_metrics) WHERE rn = 1), o AS (SELECT metric_id, endpoint, gen_tokens_total - lag(gen_tokens_total) OVER w AS more, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS sec FROM m WHERE error IS NULL AND gen_tokens_total IS NOT NULL WINDOW w AS (PARTITION BY endpoint ORDER BY ts, metric_id)) SELECT endpoint, metric_id, round(CASE WHEN more >= 0 AND sec > 0 THEN more / sec END, 6) AS tokens_per_sec FROM o",

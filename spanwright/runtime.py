@@ -17,7 +17,7 @@ _written: dict[str, list[str]] = {}
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the tables that this session's operators wrote to the shared folder; their number.
+    """Delete what this session's operators, queries and streams wrote to the shared folder; how many paths.
 
     Call it when no result of theirs is needed any more.
     """
@@ -67,6 +67,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, which ``release`` deletes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as parquet and read it back.
 
@@ -74,8 +86,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     ``checkpoint()`` it stays columnar, so later readers still prune columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import glob
+import fnmatch
+import io
 import json
-import os
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -21,7 +22,9 @@ class _File(InputPartition):
 class RecordedPullRequests(DataSource):
     """``spark.read.format("recorded_prs").option("path", ...).option("since", ...).option("until", ...)``.
 
-    One partition per file; drafts, rows outside the dates and rows without a base drop out at the source.
+    ``path`` is a file or a folder of any file system that executors share (``file://``, ``hdfs://``, ``s3://``), of which
+    the files named like ``pattern`` (``*.jsonl``) are read. One partition per file; drafts, rows outside the dates and
+    rows without a base drop out at the source.
     """
 
     @classmethod
@@ -39,14 +42,21 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = options
 
-    def partitions(self) -> list[_File]:
+    def _system(self) -> tuple[fs.FileSystem, str]:
         path = self.options["path"]
-        return [_File(p) for p in sorted(glob.glob(os.path.join(path, "*.jsonl")) if os.path.isdir(path) else [path])]
+        return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+
+    def partitions(self) -> list[_File]:
+        system, path = self._system()
+        if system.get_file_info(path).type == fs.FileType.File:
+            return [_File(path)]
+        found = system.get_file_info(fs.FileSelector(path))
+        return [_File(f.path) for f in sorted(found, key=lambda f: f.path) if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, self.options.get("pattern", "*.jsonl"))]
 
     def read(self, partition: _File) -> Iterator[tuple]:
         since, until = self.options.get("since", ""), self.options.get("until", "~")
-        with open(partition.path, encoding="utf-8") as f:
-            for line in f:
+        with self._system()[0].open_input_stream(partition.path) as raw:
+            for line in io.TextIOWrapper(raw, encoding="utf-8"):
                 if not line.strip():
                     continue
                 d = json.loads(line)

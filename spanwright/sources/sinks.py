@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from spanwright.runtime import path_exists
+
 
 def write_report(df: DataFrame, path: str) -> None:
     """Rows as JSON lines; nulls are written, since a missing rate is a fact of its own."""
@@ -13,21 +14,18 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def append_missing(df: DataFrame, path: str, keys: list[str]) -> int:
-    """Append the rows whose keys aren't in the parquet table at ``path`` yet; their number. A second call appends none."""
+    """Append the rows whose keys aren't in the parquet table at ``path`` yet; their number. A second call appends none.
+
+    The target is read once, by its keys; the rows are counted as they are written. One writer at a time: two calls at
+    once may both append a key.
+    """
     spark = df.sparkSession
-    try:
-        done = spark.read.parquet(path).select(*keys).distinct()
-        new = df.join(done, keys, "left_anti")
-    except AnalysisException:  # nothing was written so far
-        new = df
-    new = new.dropDuplicates(keys)
-    before = 0
-    try:
-        before = spark.read.parquet(path).count()
-    except AnalysisException:
-        pass
-    new.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    new = df.dropDuplicates(keys)
+    if path_exists(spark, path):
+        new = new.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
+    seen = Observation()
+    new.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
 
 
 def content_hash(*parts: Column) -> Column:

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spanwright.functions.telemetry import sample_micros
-from spanwright.runtime import shared_dir
+from spanwright.runtime import scratch
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +28,7 @@ def drained(stream: DataFrame, mode: str = "append", batch: Callable[[DataFrame,
     In ``complete`` and ``update`` mode the last batch's table holds.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     writer = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).outputMode(mode)
     if mode == "append":
         writer = writer.format("parquet").option("path", f"{base}/out")
@@ -59,18 +59,20 @@ def counter_rates(metrics: DataFrame) -> DataFrame:
     rows = metrics.where(F.col("error").isNull() & F.col("gen_tokens_total").isNotNull()).select("endpoint", "metric_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "gen_tokens_total")
 
     def step(key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_us, last_total = state.get if state.exists else (None, None)
         data = pd.concat(list(frames)).drop_duplicates("metric_id").sort_values(["us", "metric_id"])
-        out = []
-        for metric, us, total in zip(data["metric_id"], data["us"], data["gen_tokens_total"]):
-            rate = None
-            if last_us is not None and us > last_us and total >= last_total:
-                rate = (total - last_total) / ((us - last_us) / 1e6)
-            if last_us is None or us >= last_us:
-                last_us, last_total = int(us), float(total)
-            out.append((key[0], int(metric), rate))
-        state.update((last_us, last_total))
-        yield pd.DataFrame(out, columns=["endpoint", "metric_id", "tokens_per_sec"])
+        last_us, last_total = state.get if state.exists else (data["us"].iloc[0], None)
+        late = data["us"].to_numpy() < last_us  # behind the state: no rate, and no part in the next one
+        us, total = data["us"].to_numpy()[~late], data["gen_tokens_total"].to_numpy(float)[~late]
+        before_us, before = np.r_[last_us, us[:-1]], np.r_[np.nan if last_total is None else last_total, total[:-1]]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            own = np.where((us > before_us) & (total >= before), (total - before) / ((us - before_us) / 1e6), np.nan)
+        rate = np.full(len(data), np.nan)
+        rate[~late] = own
+        if us.size:
+            state.update((int(us[-1]), float(total[-1])))
+        found = pd.array(rate, dtype="Float64")
+        found[np.isnan(rate)] = pd.NA
+        yield pd.DataFrame({"endpoint": [key[0]] * len(data), "metric_id": data["metric_id"].to_numpy(), "tokens_per_sec": found})
 
     return rows.groupBy("endpoint").applyInPandasWithState(step, "endpoint string, metric_id bigint, tokens_per_sec double", "us bigint, total double", "append", GroupStateTimeout.NoTimeout)
 
@@ -84,6 +86,6 @@ def replay_once(stream: DataFrame, keys: list[str], path: str, work: Callable[[D
     """Apply ``work`` to each key of a stream once, appending to ``path``: what is there already is skipped."""
     from spanwright.sources.sinks import append_missing
 
-    base = f"{shared_dir(stream.sparkSession)}/replay-{uuid.uuid4().hex}"
+    base = scratch(stream.sparkSession, "replay")
     query = stream.writeStream.foreachBatch(lambda df, n: append_missing(work(df), path, keys) and None).option("checkpointLocation", base).trigger(availableNow=True)
     query.start().awaitTermination()
