@@ -128,12 +128,69 @@ def duration_text(seconds: Column) -> Column:
     )
 
 
-def parsed_completion(text: Column) -> Column:
-    """(reasoning, content, calls) of a completion that may think first and ends in tool calls."""
-    thought = F.regexp_extract(text, r"(?s)^(?:<think>)?(.*?)</think>", 1)
-    rest = F.when(F.contains(text, F.lit("</think>")), F.regexp_replace(text, r"(?s)^.*?</think>", "")).otherwise(text)
-    calls = F.regexp_extract_all(rest, F.lit(r"(?s)<tool_call>(.*?)</tool_call>"), F.lit(1))
-    return F.struct(F.nullif(F.trim(thought), F.lit("")).alias("reasoning"), F.trim(F.regexp_replace(rest, r"(?s)<tool_call>.*?</tool_call>", "")).alias("content"), F.size(calls).alias("n_calls"))
+#: The marks of a completion.
+DSML, BOS, EOS, THINK, THINK_END = "｜DSML｜", "<｜begin▁of▁sentence｜>", "<｜end▁of▁sentence｜>", "<think>", "</think>"
+CALLS, CALLS_END = f"\n\n<{DSML}tool_calls", f"</{DSML}tool_calls>"
+
+
+def _parameter(group: str) -> str:
+    """The form of a parameter; ``group`` opens the groups of its name, kind and value."""
+    return rf'<{DSML}parameter name="{group}(?:(?!">).)*?)" string="{group}true|false)">{group}(?:(?!/{DSML}parameter).)*)</{DSML}parameter>\n'
+
+
+_PARAMETER = _parameter("(")
+_INVOKE = rf'<{DSML}invoke\s*name="((?:(?!<{DSML}parameter|</{DSML}invoke).)*?)">\n(?:{_parameter("(?:")})*</{DSML}invoke>\n'
+
+
+def rendered_call(name: Column, parameters: Column) -> Column:
+    """A tool call with its parameters (name, value, is_string) in the marked form that completions use."""
+    one = lambda p: F.concat(F.lit(f'<{DSML}parameter name="'), p["name"], F.when(p["is_string"], '" string="true">').otherwise('" string="false">'), p["value"], F.lit(f"</{DSML}parameter>\n"))
+    return F.concat(F.lit(f'<{DSML}invoke name="'), name, F.lit('">\n'), F.array_join(F.transform(parameters, one), ""), F.lit(f"</{DSML}invoke>\n"))
+
+
+def rendered_completion(reasoning: Column, content: Column, calls: Column) -> Column:
+    """A whole completion: thinking, answer, rendered calls, end mark."""
+    block = F.when(F.size(calls) > 0, F.concat(F.lit(f"{CALLS}>\n"), F.array_join(calls, ""), F.lit(CALLS_END))).otherwise(F.lit(""))
+    return F.concat(F.coalesce(reasoning, F.lit("")), F.lit(THINK_END), F.coalesce(content, F.lit("")), block, F.lit(EOS))
+
+
+def parsed_completion(text: Column, thinking: bool = True, strict: bool = False) -> Column:
+    """(reasoning, content, calls ARRAY<STRUCT<name, arguments>>, error) of a completion by its strict grammar.
+
+    ``error`` says what is wrong, and then the rest is null: ``thinking``, ``end``, ``tool_calls``, ``duplicate_parameter``
+    or ``special_token``; ``strict`` raises instead. ``arguments`` is a JSON object, with the values of parameters that
+    aren't strings as they stand.
+    """
+    at = lambda mark, of: F.locate(mark, of)
+    think, call = at(THINK_END, text), at(CALLS, text)
+    thought = (think > 0) & ((call == 0) | (think < call)) if thinking else F.lit(True)
+    reasoning = F.left(text, think - 1) if thinking else F.lit("")
+    rest = F.substr(text, think + F.lit(len(THINK_END))) if thinking else text
+    end, begin = at(EOS, rest), at(CALLS, rest)
+    calling = (begin > 0) & ((end == 0) | (begin < end))
+    content = F.left(rest, F.when(calling, begin).otherwise(end) - 1)
+    block = F.substr(rest, begin + F.lit(len(CALLS)))
+    well_formed = block.rlike(rf"(?s)\A>\n(?:{_INVOKE})*{CALLS_END}(?:{EOS})?\z")
+    found = F.regexp_extract_all(block, F.lit(rf"(?s){_INVOKE}"), F.lit(0))
+    parameters = lambda c, k: F.regexp_extract_all(c, F.lit(rf"(?s){_PARAMETER}"), F.lit(k))
+    quoted = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"(?s)^\[|\]$", "")
+    member = lambda p: F.concat(quoted(p["n"]), F.lit(": "), F.when(p["s"] == "true", quoted(p["v"])).otherwise(p["v"]))
+    arguments = lambda c: F.concat(F.lit("{"), F.array_join(F.transform(F.arrays_zip(parameters(c, 1).alias("n"), parameters(c, 2).alias("s"), parameters(c, 3).alias("v")), member), ", "), F.lit("}"))
+    calls = F.transform(found, lambda c: F.struct(F.regexp_extract(c, rf"(?s){_INVOKE}", 1).alias("name"), arguments(c).alias("arguments")))
+    twice = F.exists(found, lambda c: F.size(F.array_distinct(parameters(c, 1))) < F.size(parameters(c, 1)))
+    special = lambda x: F.coalesce(*(F.when(F.contains(x, F.lit(m)), True) for m in (BOS, EOS, THINK, THINK_END, DSML)), F.lit(False))
+    error = (
+        F.when(~thought, "thinking")
+        .when(~calling & ((end == 0) | (F.length(rest) != end + F.lit(len(EOS) - 1))), "end")
+        .when(calling & ~well_formed, "tool_calls")
+        .when(calling & twice, "duplicate_parameter")
+        .when(special(content) | special(reasoning), "special_token")
+    )
+    if strict:
+        error = F.when(error.isNotNull(), F.raise_error(F.concat(F.lit("malformed completion: "), error)).cast("string"))
+    sound = error.isNull()
+    none = F.array().cast("array<struct<name: string, arguments: string>>")
+    return F.when(text.isNotNull(), F.struct(F.when(sound, reasoning).alias("reasoning"), F.when(sound, content).alias("content"), F.when(sound, F.when(calling, calls).otherwise(none)).alias("calls"), error.alias("error")))
 
 
 def rendered_chat(messages: DataFrame) -> DataFrame:

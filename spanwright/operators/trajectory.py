@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanwright.operators.checks import verification_points
+
 #: Names of tools by what they do to the workspace, in lower case.
 WRITE_TOOLS = ("write_file", "create_file", "write", "create")
 EXEC_TOOLS = ("bash", "shell", "run_terminal_cmd", "execute")
@@ -141,25 +143,40 @@ def file_states(steps: DataFrame) -> DataFrame:
     return steps.groupBy("run_id", "path").agg(F.aggregate(ordered, unknown, step).alias("content"))
 
 
-def bisected(spark: SparkSession, probes: DataFrame, steps: DataFrame) -> DataFrame:
-    """Where each run stopped being recoverable, by binary search over recorded probes.
+def bisected(probes: DataFrame, steps: DataFrame, verify: int = 2) -> DataFrame:
+    """Where each run stopped being recoverable, by binary search over recorded probes, and whether more probes agree.
 
-    ``probes`` is (run_id, t, ok) with ``ok`` true if any sample succeeded and null for a
-    desynchronised one, which drops the run; ``steps`` is (run_id, n_steps). All runs advance
-    together, one halving a round.
+    ``probes`` is (run_id, t, ok) with ``ok`` true if any sample succeeded and null for a desynchronised one, which
+    drops the run; ``steps`` is (run_id, n_steps). A run's probes meet in one row and are searched by a fold that
+    halves its range at each turn. ``verify`` probes that the search never visited then test that recoverability only
+    ever falls: ``violations`` of the ``checked`` ones contradict the fork.
     """
-    query = """
-    WITH RECURSIVE search(run_id, n, lo, hi, best, probes, dropped) AS (
-      SELECT run_id, n_steps, -1, n_steps - 1, CAST(NULL AS INT), 0, false FROM {steps}
-      UNION ALL
-      SELECT s.run_id, s.n, CASE WHEN p.ok THEN CAST(floor((s.lo + s.hi) / 2) AS INT) + 1 ELSE s.lo END,
-        CASE WHEN p.ok THEN s.hi ELSE CAST(floor((s.lo + s.hi) / 2) AS INT) - 1 END,
-        CASE WHEN p.ok THEN CAST(floor((s.lo + s.hi) / 2) AS INT) ELSE s.best END, s.probes + 1, p.ok IS NULL
-      FROM search s JOIN {probes} p ON p.run_id = s.run_id AND p.t = CAST(floor((s.lo + s.hi) / 2) AS INT)
-      WHERE s.lo <= s.hi AND NOT s.dropped AND s.n > 0)
-    SELECT run_id, max(n) AS n_steps, max(best) AS largest, max(probes) AS probes, bool_or(dropped) AS dropped FROM search GROUP BY run_id"""
-    found = spark.sql(query, steps=steps.select("run_id", F.col("n_steps").cast("int").alias("n_steps")), probes=probes.select("run_id", F.col("t").cast("int").alias("t"), "ok"))
+    code = F.when(F.col("ok").isNull(), 2).otherwise(F.col("ok").cast("int"))
+    recorded = probes.groupBy("run_id", F.col("t").cast("int").alias("t")).agg(F.max(code).alias("code")).groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("t", "code"))).alias("at"))
+    runs = steps.select("run_id", F.col("n_steps").cast("int").alias("n_steps")).join(recorded, "run_id", "left")
+    empty = F.array().cast("array<int>")
+    begin = F.struct(F.lit(-1).alias("lo"), (F.col("n_steps") - 1).alias("hi"), F.lit(None).cast("int").alias("best"), empty.alias("visited"), F.lit(False).alias("dropped"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        code = F.try_element_at("at", mid)
+        on = (s["lo"] <= s["hi"]) & ~s["dropped"] & (F.col("n_steps") > 0) & code.isNotNull()
+        when = lambda cond, a, b: F.when(on & cond, a).otherwise(b)
+        return F.struct(
+            when(code == 1, mid + 1, s["lo"]).alias("lo"), when(code != 1, mid - 1, s["hi"]).alias("hi"), when(code == 1, mid, s["best"]).alias("best"),
+            F.when(on, F.array_append(s["visited"], mid)).otherwise(s["visited"]).alias("visited"), (s["dropped"] | F.coalesce(on & (code == 2), F.lit(False))).alias("dropped"),
+        )
+
+    searched = runs.select("run_id", "n_steps", "at", F.explode(F.array(F.aggregate(F.sequence(F.lit(1), F.lit(32)), begin, halve))).alias("s"))
+    found = searched.select("run_id", "n_steps", "at", F.col("s.best").alias("largest"), "s.dropped", "s.visited")
+    points = F.when(~F.col("dropped") & (F.col("n_steps") > 0), verification_points(F.col("largest"), F.col("n_steps"), F.col("visited"), verify)).otherwise(empty)
+    checks = F.filter(F.transform(points, lambda t: F.struct((t <= F.coalesce("largest", F.lit(-2))).alias("expected"), F.try_element_at("at", t).alias("code"))), lambda c: c["code"].isin(0, 1))
+    read = found.select("*", F.explode(F.array(checks)).alias("checks"))
     whole = F.col("largest") == F.col("n_steps") - 1
     fork = F.when(~F.col("dropped") & (F.col("n_steps") > 0) & ~F.coalesce(whole, F.lit(False)), F.coalesce(F.col("largest") + 1, F.lit(0)))
     budget = F.when(F.col("n_steps") > 0, F.ceil(F.log2("n_steps")) + 2)
-    return found.select("run_id", "n_steps", F.when(~F.col("dropped"), F.col("largest")).alias("largest"), fork.alias("forking_step"), "dropped", (F.coalesce(F.col("probes") <= budget, F.lit(True))).alias("budget_ok"))
+    violations = F.size(F.filter("checks", lambda c: c["expected"] != (c["code"] == 1)))
+    return read.select(
+        "run_id", "n_steps", F.when(~F.col("dropped"), F.col("largest")).alias("largest"), fork.alias("forking_step"), "dropped", F.coalesce(F.size("visited") <= budget, F.lit(True)).alias("budget_ok"),
+        F.size("checks").alias("checked"), violations.alias("violations"), (violations == 0).alias("monotone"),
+    )

@@ -223,7 +223,12 @@ def q_t01_iso_times(spark, sf_dir):
 
 QUERIES = {name: f for name, f in dict(globals()).items() if name.startswith("q_")}
 _COUNTS = "counts AS (SELECT model, task, stratum, count(*) AS n, count(*) FILTER (passed) AS c FROM {v_rollouts} WHERE passed IS NOT NULL GROUP BY 1, 2, 3)"
+from spanwright.plans.repositories import SQL as _MINING_SQL  # noqa: E402
+from spanwright.plans.trajectories import _BISECTION  # noqa: E402
+
 SQL = {
+    "q_k05_examples": f"{_BISECTION} SELECT prefix IS NULL AS none, count(*) AS n FROM (SELECT CASE WHEN NOT dropped AND substr(md5(run_id), 1, 1) <> '0' AND largest >= 0 THEN largest + 1 END AS prefix FROM bisected) GROUP BY 1",
+    "q_r04_datum": "WITH g AS (SELECT l_orderkey, list_sort(list(l_linenumber)) AS ids FROM lineitem GROUP BY 1) SELECT l_orderkey, array_to_string(list_concat(list_transform(ids[1:2], lambda x: '0.0'), list_transform(ids[3:11], lambda x: CAST(-x / 10.0 AS VARCHAR))), ',') AS logprobs, array_to_string(list_concat(list_transform(ids[1:2], lambda x: 0), list_transform(ids[3:11], lambda x: 1)), ',') AS weights FROM g",
     "q_a07_trajectory": "WITH r AS (SELECT l_orderkey AS job, concat(CASE WHEN l_linenumber % 2 = 0 THEN 'agent/' ELSE 'x/' END, l_partkey, '-', l_linenumber) AS path, l_linenumber % 2 AS p, l_shipdate FROM lineitem), k AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY p, l_shipdate DESC, path) AS rn FROM r) SELECT job, path FROM k WHERE rn = 1",
     "q_a08_step_flags": "WITH s AS (SELECT DISTINCT ON (step_key) * FROM step_views) SELECT source, count(*) AS n, count(*) FILTER (coalesce(contains(message, '<think>'), false)) AS thinks, count(*) FILTER (coalesce(observation_text, '') <> '') AS observed, CAST(sum(prompt_tokens) AS BIGINT) AS prompt FROM s GROUP BY 1",
     "q_a09_episodes": "SELECT l_orderkey AS job, count(*) AS episodes, CAST(max(l_linenumber) AS INT) AS last FROM lineitem WHERE l_linenumber % 3 = 0 GROUP BY 1",
@@ -255,3 +260,5 @@ SQL = {
     "q_t01_iso_times": r"WITH s AS (SELECT DISTINCT ON (step_key) step_key, trim(step_timestamp) AS b FROM step_views), p AS (SELECT step_key, TRY_CAST(regexp_replace(b, '(?:[Zz]|[+-][0-9]{2}:?[0-9]{2})$', '') AS TIMESTAMP) AS t, regexp_extract(b, '([+-])([0-9]{2}):?([0-9]{2})$', ['s', 'h', 'm']) AS o FROM s) SELECT step_key, epoch_us(t) - CASE WHEN o.s IN ('+', '-') THEN CASE o.s WHEN '+' THEN 1 ELSE -1 END * (TRY_CAST(o.h AS BIGINT) * 60 + TRY_CAST(o.m AS BIGINT)) * 60000000 ELSE 0 END AS us FROM p",
 }
 SQL = {name: oracle(text) for name, text in SQL.items()}
+#: The command's own verdict on top of the grades'.
+SQL["q_x09_command_resolved"] = f"WITH graded AS ({_MINING_SQL['q_d20_grade']}) SELECT log_id, resolved AND untracked = 0 AND log_id % 3 = 0 AS ok FROM graded"

@@ -10,7 +10,7 @@ from spanwright.operators import checks as C
 from spanwright.operators import support as S
 from spanwright.operators import trajectory as T
 from spanwright.operators.mining import is_non_bug
-from spanwright.plans import diagnosis, repositories, tokens
+from spanwright.plans import diagnosis, repositories, tokens, trajectories
 from spanwright.plans.support import _strata
 from spanwright.plans.views import oracle, rounded, view
 from spanwright.runtime import materialize, scratch
@@ -247,8 +247,16 @@ def q_s23_rendered_chat(spark, sf_dir):
 
 
 def q_s24_completions(spark, sf_dir):
-    text = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("<think>so "), F.col("p_name"), F.lit("</think> done"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.col("p_name"), F.lit("<tool_call>{}</tool_call><tool_call>x</tool_call>"))).otherwise(F.col("p_name"))
-    return view(spark, sf_dir, "part").select("p_partkey", C.parsed_completion(text).alias("c")).select("p_partkey", "c.*")
+    """Assistant turns rendered as completions and parsed again; some lose their end, their thinking mark or a call's name."""
+    turns = T.once(view(spark, sf_dir, "turns")).where(F.col("role") == "assistant")
+    calls = F.transform(F.coalesce("tool_calls", F.array().cast("array<struct<id:string,name:string,args:string>>")), lambda c: C.rendered_call(F.coalesce(c["name"], F.lit("")), F.array(F.struct(F.lit("raw").alias("name"), F.coalesce(c["args"], F.lit("")).alias("value"), F.lit(True).alias("is_string")), F.struct(F.lit("n").alias("name"), F.lit("1").alias("value"), F.lit(False).alias("is_string")))))
+    text = C.rendered_completion(F.col("thinking"), F.col("content"), calls)
+    h = F.substring(F.md5(F.col("turn_id").cast("string")), 1, 1)
+    broken = F.when(h == "0", F.substr(text, F.lit(1), F.length(text) - 3)).when(h == "1", F.replace(text, F.lit(C.THINK_END), F.lit(""))).when(h == "2", F.replace(text, F.lit("invoke name="), F.lit("invoke nam="))).otherwise(text)
+    found = turns.select("turn_id", F.explode(F.array(broken)).alias("text")).select("turn_id", F.explode(F.array(C.parsed_completion(F.col("text")))).alias("c"))
+    names = F.array_join(F.transform("c.calls", lambda x: x["name"]), ",")
+    raw = F.array_join(F.transform("c.calls", lambda x: F.get_json_object(x["arguments"], "$.raw")), "\n")
+    return found.select("turn_id", F.md5("c.reasoning").alias("reasoning"), F.md5("c.content").alias("content"), names.alias("names"), F.md5(raw).alias("raw"), F.col("c.error").alias("error"))
 
 
 def q_s26_durations(spark, sf_dir):
@@ -349,7 +357,12 @@ SQL = {
     "q_s01_shortened": "SELECT turn_id, CASE WHEN length(content) > 40 THEN concat(substr(content, 1, 40), '...') ELSE content END AS short FROM {v_turns} WHERE content IS NOT NULL",
     "q_s09_targeted_commands": "SELECT p_partkey, ['pytest -q tests/a.py ''my dir/d.py''', 'python -m pytest tests/x.py', 'go test ./pkg', 'npx jest --ci web/c.test.ts', 'cargo test'][CAST(p_partkey % 5 AS INT) + 1] AS command FROM part",
     "q_s23_rendered_chat": f"WITH {_ONCE} SELECT run_id, md5(string_agg(concat('<|', r, '|>', chr(10), coalesce(content, ''), '<|end|>', chr(10)), '' ORDER BY idx, turn_id)) AS md5 FROM t WHERE coalesce(subagent_depth, 0) = 0 AND NOT (r = 'system' AND coalesce(starts_with(content, '[subagent'), false)) GROUP BY 1",
-    "q_s24_completions": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN concat('so ', p_name) END AS reasoning, CASE WHEN p_partkey % 3 = 0 THEN 'done' ELSE p_name END AS content, CASE WHEN p_partkey % 3 = 1 THEN 2 ELSE 0 END AS n_calls FROM part",
+    "q_f20_verification_points": f"SELECT s_suppkey, array_to_string({trajectories._points('largest', 'steps', '[3, 5]')}, ',') AS points FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 6 <> 0 THEN CAST(s_suppkey % 7 AS INT) END AS largest, CAST(8 + s_suppkey % 3 AS INT) AS steps FROM supplier)",
+    "q_j03_args_as_text": f"WITH {trajectories._STEPS}, a AS (SELECT c.name AS name, c.args AS args FROM calls) SELECT name, count(*) AS n, count(*) FILTER (starts_with(args, '\"')) AS texts, count(*) FILTER (starts_with(args, '\"') AND json_valid(args)) AS whole FROM a GROUP BY 1",
+    "q_s24_completions": r"""WITH t AS (SELECT turn_id, coalesce(thinking, '') AS r, coalesce(content, '') AS c, coalesce(tool_calls, []) AS k, substr(md5(CAST(turn_id AS VARCHAR)), 1, 1) AS h FROM {v_turns} WHERE lower(trim(role, E' \t\n\r')) IN ('agent', 'assistant')),
+e AS (SELECT *, CASE WHEN h = '1' THEN 'thinking' WHEN h = '0' AND len(k) = 0 THEN 'end' WHEN h IN ('0', '2') AND len(k) > 0 THEN 'tool_calls' END AS error FROM t)
+SELECT turn_id, CASE WHEN error IS NULL THEN md5(r) END AS reasoning, CASE WHEN error IS NULL THEN md5(c) END AS content, CASE WHEN error IS NULL THEN array_to_string(list_transform(k, lambda x: coalesce(x.name, '')), ',') END AS names,
+  CASE WHEN error IS NULL THEN md5(array_to_string(list_transform(k, lambda x: coalesce(x.args, '')), chr(10))) END AS raw, error FROM e""",
     "q_s26_durations": "WITH e AS (SELECT event_id, CASE WHEN event_id % 13 <> 0 THEN event_id * 7 END AS s FROM events) SELECT event_id, CASE WHEN s IS NULL THEN '-' WHEN s >= 3600 THEN concat(s // 3600, 'h ', lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0'), 'm') WHEN s >= 60 THEN concat(s // 60, 'm ', lpad(CAST(s % 60 AS VARCHAR), 2, '0'), 's') ELSE concat(s, '.0s') END AS text FROM e",
     "q_t04_sweep_window": "SELECT task, min(rollout_index) AS start, round(max(rollout_index + elapsed_sec), 6) AS \"end\" FROM {v_attempts} GROUP BY 1",
     "q_w01_ledger": "WITH m AS (SELECT DISTINCT ON (metric_id) * FROM vllm_metrics) SELECT endpoint, count(*) AS requests, count(*) FILTER (error IS NULL) AS captured, count(error) AS failed FROM m GROUP BY 1",

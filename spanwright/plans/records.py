@@ -242,6 +242,10 @@ _IDS = "g AS (SELECT l_orderkey, list(CAST(l_partkey % 3 AS INT) ORDER BY l_line
 
 QUERIES = {name: f for name, f in dict(globals()).items() if name.startswith("q_")}
 SQL = {
+    # the kept bytes are whole characters: those of the text that end within the cut
+    "q_j07_utf8_tail": """WITH d AS (SELECT doc_id, text, greatest(octet_length(encode(text)) - doc_id % 7, 0) AS cut FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, cut, length(text) AS n, octet_length(encode(text)) AS bytes, list_transform(range(0, 8), lambda k: octet_length(encode(substr(text, greatest(length(text) - k, 0) + 1)))) AS tails FROM d)
+SELECT doc_id, CAST(greatest(n - list_position(list_transform(tails, lambda t: bytes - t <= cut), true) + 1, 0) AS INT) AS n FROM w""",
     "q_e17_planted_ceiling": """WITH c AS (SELECT concat(n, 'w/', n, 'l@', p) AS config, n, CAST(p AS DOUBLE) AS p FROM (SELECT unnest([3, 6, 12]) AS n) CROSS JOIN (SELECT unnest(['1.0', '0.6', '0.3']) AS p)),
 z AS (SELECT config, n, least(n - 1, CAST(round_even(n * 0.3, 0) AS INT)) AS nc, CAST(round_even(p * n, 0) AS INT) AS np FROM c),
 r AS (SELECT config, CASE WHEN i < nc THEN 'win_clean' ELSE 'win_recovering' END AS kind FROM (SELECT *, unnest(range(0, n)) AS i FROM z) UNION ALL SELECT config, CASE WHEN i < np THEN 'loss_planted' ELSE concat('loss_', ['stops_to_ask', 'wrong_output_shape', 'drops_second_requirement'][CAST((i - np) % 3 AS INT) + 1]) END FROM (SELECT *, unnest(range(0, n)) AS i FROM z)),

@@ -224,6 +224,15 @@ def _pytest(source: str, name: str) -> str:
 _HALF = _LINES + """, marked AS (SELECT *, line_no * 2 > max(line_no) OVER (PARTITION BY log_id) AS late FROM lines), early AS (SELECT * FROM marked WHERE NOT late), late AS (SELECT * FROM marked WHERE late), """ + _pytest("early", "pre") + ", " + _pytest("late", "post") + """,
 trans AS (SELECT a.log_id, a.test, CASE WHEN a.status IN ('FAILED', 'ERROR') AND b.status = 'PASSED' THEN 'fail_to_pass' WHEN a.status = 'PASSED' AND b.status = 'PASSED' THEN 'pass_to_pass' END AS kind FROM pre a LEFT JOIN post b ON b.log_id = a.log_id AND b.test = a.test)"""
 _WORDS = r"len(regexp_extract_all({0}, '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}\x{{200c}}\x{{200d}}]+'))"
+_BLANK = r"[\t\n\x0b\f\r \x{85}\p{Z}]"
+
+
+def _stripped(text: str) -> str:
+    for pattern in X.LEAKS:
+        text = f"regexp_replace({text}, '{pattern}', '', 'g')"
+    return text
+
+
 _LINK = r"(?i)\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\s+(?:\[?#(\d+)|https?://(?:\w+\.)?github\.com/([\w.-]+)/([\w.-]+)/issues/(\d+))"
 _IS_TEST = r"NOT regexp_matches(lower({0}), '^(?:docs|doc|documentation|examples|example)/') AND (regexp_matches(lower({0}), '(?:^|/)(?:test|tests|testing|e2e|__tests__)/') OR regexp_matches(split_part(lower({0}), '/', -1), '^conftest\.py$|^test_.*\.(?:py|js|ts)$|_test\.(?:py|go)$|\.(?:test|spec)\.(?:ts|js)$'))"
 _TITLE = r"""(?i)\b(?:back[-\s]?port|cherry[-\s]?pick|revert|bump|release|changelog|forward[-\s]?merge|prepare\s+(?:for\s+)?release|version\s+bump|re-?sync)\b|\bmerge\b[^\n]*\binto\b|\bmerge\s+(?:branch|stable|main|master|develop|upstream|release)\b|\bsync\s+(?:stable|main|master|branch|develop|upstream)\b"""
@@ -272,6 +281,12 @@ SQL = {
     "q_d19_transitions": f"WITH {_HALF} SELECT * FROM trans WHERE kind IS NOT NULL",
     "q_d20_grade": f"WITH {_HALF}, {_pytest('lines', 'st')}, d AS (SELECT * FROM trans WHERE kind IS NOT NULL), j AS (SELECT coalesce(d.log_id, st.log_id) AS log_id, kind, status, coalesce(status = 'PASSED', false) AS ok FROM d FULL JOIN st ON st.log_id = d.log_id AND st.test = d.test), g AS (SELECT log_id, count(*) FILTER (kind = 'fail_to_pass') AS f2p_total, count(*) FILTER (kind = 'fail_to_pass' AND ok) AS f2p_passed, count(*) FILTER (kind = 'pass_to_pass') AS p2p_total, count(*) FILTER (kind = 'pass_to_pass' AND ok) AS p2p_passed, count(*) FILTER (kind IS NULL AND status = 'FAILED') AS untracked FROM j GROUP BY 1), r AS (SELECT *, coalesce(f2p_passed / nullif(f2p_total, 0), 0) AS a, coalesce(p2p_passed / nullif(p2p_total, 0), 1) AS b FROM g) SELECT log_id, f2p_total, f2p_passed, p2p_total, p2p_passed, untracked, round_even(a, 6) AS f2p_rate, round_even(b, 6) AS p2p_rate, round_even(a * b, 6) AS reward, f2p_total > 0 AND f2p_passed = f2p_total AND p2p_passed = p2p_total AS resolved FROM r",
     "q_s02_word_count": r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[a-z]+')) AS INT) AS lower_words, CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^[+-]') AND NOT regexp_matches(x, '^(?:\+\+\+|---) '))) AS INT) AS changed FROM documents WHERE text IS NOT NULL",
+    "q_s02_unicode_words": f"SELECT doc_id, CAST({_WORDS.format('text')} AS INT) AS words FROM documents WHERE text IS NOT NULL",
+    "q_s04_strip_leaks": f"SELECT doc_id, CAST(length(clean) AS INT) AS n, CAST(length(text) - length(clean) AS INT) AS removed FROM (SELECT doc_id, text, {_stripped('text')} AS clean FROM documents WHERE text IS NOT NULL)",
+    "q_s05_reflow": rf"""WITH d AS (SELECT doc_id, string_split_regex(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '\r\n|\n|\r') AS l FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, l, list_position(list_transform(l, lambda x: regexp_matches(x, '{X.NOISE_HEADER}')), true) AS noise FROM d),
+j AS (SELECT doc_id, regexp_replace(regexp_replace(array_to_string(CASE WHEN noise > 0 THEN l[1:noise - 1] ELSE l END, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^{_BLANK}+|{_BLANK}+$', '', 'g') AS t FROM k)
+SELECT doc_id, CAST(CASE WHEN length(t) > 4000 THEN length(regexp_replace(substr(t, 1, 4000), '{_BLANK}+$', '')) + 14 ELSE length(t) END AS INT) AS n FROM j""",
     "q_s03_linked_issue": f"WITH {_PR} SELECT number, issue FROM linked",
     "q_c11_pr_reasons": f"WITH {_PR} SELECT number, coalesce(pre, CASE WHEN words < 20 THEN 'problem_statement_too_short' END) AS reason FROM rs",
     "q_c14_pr_sequence": f"WITH {_SEQ} SELECT number, reason FROM seq",

@@ -149,6 +149,8 @@ SQL = {
     "q_e20_granularity_report": f"WITH {_SPANS}, tot AS (SELECT ex_id, count(*) FILTER (side = 'student') AS n FROM ends GROUP BY 1), r AS (SELECT t.ex_id, t.n, count(s.span_no) AS k, count(*) FILTER (s_end - s_start = 1 AND t_end - t_start = 1) AS one, max(s_end - s_start) AS longest FROM tot t LEFT JOIN spans s ON s.ex_id = t.ex_id GROUP BY 1, 2), j AS (SELECT r.*, coalesce(d.kind, 'unknown') AS kind FROM r JOIN documents d ON d.doc_id = r.ex_id) SELECT kind, count(*) AS n, round(avg(k / n), 9) AS mean_granularity, round(min(k / n), 9) AS least, round(sum(one) / sum(k), 9) AS one_to_one, count(*) FILTER (longest > 8) AS faults FROM j GROUP BY ROLLUP (kind)",
     "q_c25_span_kinds": f"WITH {_KINDS} SELECT kind, count(*) AS n, CAST(sum(byte_end - byte_start) AS BIGINT) AS bytes FROM kinds GROUP BY 1",
     "q_d16_span_sums": f"WITH {_SPANS}, run AS (SELECT ex_id, side, byte_end, sum(lp) OVER (PARTITION BY ex_id, side ORDER BY idx) AS total FROM ends), m AS (SELECT s.ex_id, s.byte_end, s.total AS a, t.total AS b FROM run s JOIN run t ON t.ex_id = s.ex_id AND t.byte_end = s.byte_end WHERE s.side = 'student' AND t.side = 'teacher'), d AS (SELECT ex_id, a - coalesce(lag(a) OVER w, 0) AS s, b - coalesce(lag(b) OVER w, 0) AS t FROM m WINDOW w AS (PARTITION BY ex_id ORDER BY byte_end)) SELECT ex_id, count(*) AS spans, round(CAST(sum(s) AS DOUBLE), 6) AS student, round(CAST(sum(t) AS DOUBLE), 6) AS teacher, round(CAST(sum((s - t) * s) AS DOUBLE), 6) AS loss FROM d GROUP BY 1",
+    "q_c26_content_type": r"""WITH w AS (SELECT unnest(string_split(text, ' ')) AS w FROM documents WHERE text IS NOT NULL), b AS (SELECT w, regexp_replace(w, '^[\t\n\x0b\f\r \x{85}\p{Z}]+|[\t\n\x0b\f\r \x{85}\p{Z}]+$', '', 'g') AS t FROM w)
+SELECT CASE WHEN w = '' THEN 'empty' WHEN t = '' THEN 'whitespace' WHEN regexp_matches(t, '^[\p{Nd}.\-+eE]+$') AND regexp_matches(t, '\p{Nd}') THEN 'numeric' WHEN regexp_matches(t, '^[\p{L}\p{N}_/.\-$@:]+$') AND regexp_matches(t, '\p{L}') THEN 'identifier' ELSE 'other' END AS kind, count(*) AS n FROM b GROUP BY 1""",
     "q_d14_exact_map": f"WITH {_VOC} SELECT max(token_id) FILTER (side = 'teacher') AS teacher_id, max(token_id) FILTER (side = 'student') AS student_id FROM voc WHERE NOT sp GROUP BY b HAVING count(*) FILTER (side = 'student') = 1 AND count(*) FILTER (side = 'teacher') = 1",
     "q_e26_fingerprint": f"WITH {_VOC} SELECT side, sha256(string_agg(concat(token_id, ':', lower(hex(b))), chr(10) ORDER BY token_id)) AS sha256 FROM voc GROUP BY 1",
     "q_m10_coarse_kl": f"WITH {_CAND}, g AS (SELECT position, sum(exp(t)) AS listed, coalesce(sum(exp(t)) FILTER (m), 0) AS tm, coalesce(sum(exp(s)) FILTER (m), 0) AS sm, coalesce(sum(exp(s) * (s - t)) FILTER (m), 0) AS k, count(*) FILTER (m) AS n FROM cand GROUP BY 1), o AS (SELECT *, tm / listed AS cov, ln(greatest(1 - tm, 1e-3)) AS ot, CASE WHEN sm >= 1 THEN ln(1e-3) ELSE ln(1 - sm) END AS os FROM g) SELECT position, round(cov, 8) AS coverage, round(CASE WHEN n > 0 AND cov >= 0.6131 THEN k + exp(os) * (os - ot) END, 8) AS kl, CASE WHEN n > 0 AND cov >= 0.6131 THEN 1 - tm < -1e-3 END AS clamped FROM o",

@@ -124,12 +124,12 @@ def q_f19_file_state(spark, sf_dir):
 
 
 def q_k02_bisection(spark, sf_dir):
-    """Bisection of each run at a fork that its id decides; odd runs recover before it."""
+    """Bisection of each run at a fork that its id decides; some probes are out of line, and some runs desynchronised."""
     steps = T.action_steps(_turns(spark, sf_dir)).groupBy("run_id").agg(F.count("*").cast("int").alias("n_steps"))
     h = F.pmod(F.conv(F.substring(F.md5("run_id"), 1, 6), 16, 10).cast("bigint"), F.lit(97))
     probes = steps.withColumn("fork", F.pmod(h, F.col("n_steps") + 2) - 1).select("run_id", F.explode(F.sequence(F.lit(-1), F.col("n_steps") - 1)).alias("t"), "fork", h.alias("h"))
-    ok = F.when((F.col("h") % 11 == 0) & (F.col("t") == 1), None).otherwise(F.col("t") < F.col("fork"))
-    return T.bisected(spark, probes.select("run_id", "t", ok.alias("ok")), steps)
+    ok = F.when((F.col("h") % 11 == 0) & (F.col("t") == 1), None).otherwise((F.col("t") < F.col("fork")) != (F.substring(F.md5(F.concat_ws(":", "run_id", F.col("t").cast("string"))), 1, 1) == "0"))
+    return T.bisected(probes.select("run_id", "t", ok.alias("ok")), steps)
 
 
 _T = r"""t AS (SELECT * EXCLUDE (role, subagent_depth, rn), coalesce(subagent_depth, 0) AS depth, CASE WHEN lower(trim(role, E' \t\n\r')) = 'agent' THEN 'assistant' ELSE lower(trim(role, E' \t\n\r')) END AS role
@@ -144,6 +144,27 @@ _PROBLEMS = _SEG + """,
 p AS (SELECT segment_id, concat_ws(';', CASE WHEN coalesce(n_tokens, 0) > 32448 THEN 'over compaction trigger' END, CASE WHEN coalesce(n_tokens, 0) > 4096 THEN 'over max_length' END, CASE WHEN coalesce(n_supervised, 0) = 0 THEN 'no supervised tokens' END,
   CASE WHEN len(list_filter(range(1, coalesce(len(messages), 0)), lambda i: messages[i].role = 'user' AND messages[i + 1].role = 'user')) > 0 THEN 'two consecutive user turns' END) AS problems FROM s)"""
 
+def _points(largest: str, steps: str, visited: str) -> str:
+    """SQL of the first two unvisited points: the middles below and above the fork, then what is left, sorted."""
+    below, above = f"list_filter(range(0, coalesce({largest}, 0)), lambda x: NOT list_contains({visited}, x))", f"list_filter(range(coalesce({largest} + 2, 0), {steps}), lambda x: NOT list_contains({visited}, x))"
+    middle = lambda p: f"CASE WHEN len({p}) > 0 THEN [({p})[len({p}) // 2 + 1]] ELSE [] END"
+    picks = f"list_concat({middle(below)}, {middle(above)})"
+    return f"list_sort(list_concat({picks}, list_filter(list_concat({below}, {above}), lambda x: NOT list_contains({picks}, x)))[1:2])"
+
+
+_BISECT = _STEPS + r""",
+sized AS (SELECT run_id, CAST(count(*) AS INT) AS n, CAST(concat('0x', substr(md5(run_id), 1, 6)) AS BIGINT) % 97 AS h FROM steps GROUP BY 1),
+probe AS (SELECT run_id, CAST(t AS INT) AS t, CASE WHEN h % 11 = 0 AND t = 1 THEN NULL ELSE (t < h % (n + 2) - 1) <> (substr(md5(concat(run_id, ':', t)), 1, 1) = '0') END AS ok FROM (SELECT *, unnest(range(-1, n)) AS t FROM sized))"""
+_SEARCH = """search(run_id, n, lo, hi, best, visited, dropped) AS (SELECT run_id, n, CAST(-1 AS INT), n - 1, CAST(NULL AS INT), CAST([] AS INT[]), false FROM sized UNION ALL
+  SELECT s.run_id, s.n, CASE WHEN p.ok THEN p.t + 1 ELSE s.lo END, CASE WHEN p.ok THEN s.hi ELSE p.t - 1 END, CASE WHEN p.ok THEN p.t ELSE s.best END, list_append(s.visited, p.t), p.ok IS NULL
+  FROM search s JOIN probe p ON p.run_id = s.run_id AND p.t = CAST(floor((s.lo + s.hi) / 2.0) AS INT) WHERE s.lo <= s.hi AND NOT s.dropped)"""
+_BISECTED = f"""ended AS (SELECT run_id, max(n) AS n, arg_max(best, len(visited)) AS b0, max(best) AS largest, arg_max(visited, len(visited)) AS visited, bool_or(dropped) AS dropped FROM search GROUP BY 1),
+pts AS (SELECT *, CASE WHEN dropped THEN [] ELSE {_points('largest', 'n', 'visited')} END AS points FROM ended),
+seen AS (SELECT q.run_id, count(*) FILTER (p.ok IS NOT NULL) AS checked, count(*) FILTER (p.ok <> (p.t <= coalesce(q.largest, -2))) AS violations FROM (SELECT run_id, largest, unnest(points) AS t FROM pts) q JOIN probe p ON p.run_id = q.run_id AND p.t = q.t GROUP BY 1),
+bisected AS (SELECT q.run_id, n AS n_steps, CASE WHEN NOT dropped THEN largest END AS largest, CASE WHEN NOT dropped AND NOT coalesce(largest = n - 1, false) THEN coalesce(largest + 1, 0) END AS forking_step, dropped, len(visited) <= ceil(log2(n)) + 2 AS budget_ok,
+  CAST(coalesce(checked, 0) AS INT) AS checked, CAST(coalesce(violations, 0) AS INT) AS violations, coalesce(violations, 0) = 0 AS monotone FROM pts q LEFT JOIN seen s ON s.run_id = q.run_id)"""
+_BISECTION = f"WITH RECURSIVE {_BISECT}, {_SEARCH}, {_BISECTED}"
+
 QUERIES = {name: f for name, f in dict(globals()).items() if name.startswith("q_")}
 SQL = {
     "q_c30_action_steps": f"WITH {_STEPS} SELECT * FROM steps",
@@ -159,6 +180,10 @@ SQL = {
     "q_f17_condensed": f"WITH {_T}, n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY idx, turn_id) AS nth, count(*) OVER (PARTITION BY run_id) AS n FROM t), l AS (SELECT run_id, nth, n, concat(CASE WHEN n > 60 AND nth = n - 29 THEN concat('... [', n - 60, ' turns omitted] ...' || chr(10)) ELSE '' END, '[', idx, '] ', role, ':', CASE WHEN content IS NULL OR content = '' THEN '' WHEN length(content) > 400 THEN concat(' ', substr(content, 1, 400), '...') ELSE concat(' ', content) END) AS line FROM n WHERE n <= 60 OR nth <= 30 OR nth > n - 30) SELECT run_id, max(n) AS n_turns, md5(string_agg(line, chr(10) ORDER BY nth)) AS md5 FROM l GROUP BY 1",
     "q_f18_even_sample": f"WITH {_T}, n AS (SELECT run_id, idx, turn_id, row_number() OVER (PARTITION BY run_id ORDER BY idx, turn_id) - 1 AS nth, count(*) OVER (PARTITION BY run_id) AS n FROM t) SELECT run_id, idx, turn_id FROM n WHERE n <= 5 OR list_contains(list_transform(range(0, 5), lambda i: i * n // 5), nth)",
     "q_f07_per_task_cap": f"WITH {_SEG} SELECT task, segment_id FROM (SELECT task, segment_id, row_number() OVER (PARTITION BY task ORDER BY segment_id) AS k FROM s) WHERE k <= 2",
+    "q_k02_bisection": f"{_BISECTION} SELECT * FROM bisected",
+    "q_f19_file_state": """WITH RECURSIVE s AS (SELECT user_id AS run_id, concat('f', event_id % 3) AS path, props AS content, CASE WHEN event_type IN ('view', 'signup') THEN 'write' WHEN event_type = 'click' THEN 'edit' ELSE 'patch' END AS kind, row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY event_id) AS k FROM events),
+w(run_id, path, k, content) AS (SELECT run_id, path, k, CASE WHEN kind = 'write' THEN coalesce(content, '') END FROM s WHERE k = 1 UNION ALL SELECT s.run_id, s.path, s.k, CASE s.kind WHEN 'write' THEN coalesce(s.content, '') WHEN 'edit' THEN CASE WHEN len(string_split(w.content, '"k"')) = 2 THEN replace(w.content, '"k"', '"key"') END END FROM w JOIN s ON s.run_id = w.run_id AND s.path = w.path AND s.k = w.k + 1)
+SELECT run_id, path, content FROM w WHERE (run_id, path, k) IN (SELECT run_id, path, max(k) FROM s GROUP BY 1, 2)""",
     "q_e30_shapes": f"WITH {_T} SELECT run_id, count(*) AS n_turns, CAST(sum(coalesce(len(tool_calls), 0)) AS BIGINT) AS n_tool_calls FROM t GROUP BY 1",
     "q_e12_segment_stats": f"WITH {_SEG}, r AS (SELECT * FROM s WHERE n_tokens > 0) SELECT count(*) AS segments, count(DISTINCT task) AS tasks, min(n_tokens) AS least, median(n_tokens) AS median, max(n_tokens) AS most, CAST(sum(n_tokens) AS BIGINT) AS total, CAST(sum(n_supervised) AS BIGINT) AS supervised, (SELECT n_tokens FROM (SELECT n_tokens, row_number() OVER (ORDER BY n_tokens) - 1 AS k FROM r) WHERE k = floor(0.9 * ((SELECT count(*) FROM r) - 1))) AS p90, round(sum(n_supervised) / sum(n_tokens), 9) AS supervised_share FROM r",
     "q_c40_segment_problems": f"WITH {_PROBLEMS} SELECT * FROM p",
