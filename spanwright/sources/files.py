@@ -14,15 +14,18 @@ from spanwright import schemas
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a manifest in order, paths resolved against its folder: (path, outcome, model, task, ordinal)."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     folder = F.regexp_replace("_metadata.file_path", r"/[^/]*$", "")
     rows = text.select(folder.alias("folder"), F.posexplode(F.from_json("value", schemas.MANIFEST, {"mode": "FAILFAST"})).alias("ordinal", "e")).select("folder", "ordinal", "e.*")
     return rows.select(F.when(F.col("path").rlike(r"^(?:/|\w+:)"), F.col("path")).otherwise(F.concat_ws("/", "folder", "path")).alias("path"), "outcome", "model", "task", "ordinal")
 
 
-def traces(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per trace file: (path, run_id, status, turns); the run's name defaults to the file's."""
-    rows = spark.read.schema(schemas.TRACE).option("multiLine", True).option("mode", "FAILFAST").json(paths)
+def traces(spark: SparkSession, paths: str | list[str], lines: bool = False) -> DataFrame:
+    """One row per trace: (path, run_id, status, turns); the run's name defaults to the file's.
+
+    A file holds one trace, or an array of them, or with ``lines`` one a line, so that files can be split.
+    """
+    rows = spark.read.schema(schemas.TRACE).option("multiLine", not lines).option("mode", "FAILFAST").json(paths)
     stem = F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "")
     return rows.select(F.col("_metadata.file_path").alias("path"), F.coalesce("runId", stem).alias("run_id"), F.coalesce("status", F.lit("unknown")).alias("status"), F.coalesce("turns", F.array().cast(rows.schema["turns"].dataType)).alias("turns"))
 
@@ -91,6 +94,18 @@ def reachable_files(roots: DataFrame, edges: DataFrame, max_depth: int = 5) -> D
     return paths.select("root", F.col("at").alias("file"), (F.size("path") - 1).alias("depth"), "path")
 
 
+#: The files of an emitted task by what they hold.
+TASK_FILES = {"task.toml": "task_toml", "environment/Dockerfile": "dockerfile", "tests/test.sh": "test_sh", "solution/patch.diff": "oracle", "tests/f2p.json": "f2p_json"}
+
+
+def task_folders(spark: SparkSession, path: str) -> DataFrame:
+    """Emitted tasks under a folder, one row each: (task, task_toml, dockerfile, test_sh, oracle, f2p_json), null where a file is missing."""
+    found = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    inside = "|".join(k.replace(".", r"\.") for k in TASK_FILES)
+    named = found.select(F.regexp_extract("path", rf"/([^/]+)/(?:{inside})$", 1).alias("task"), F.regexp_extract("path", rf"/({inside})$", 1).alias("name"), "value").where(F.col("task") != "")
+    return named.groupBy("task").agg(*(F.max(F.when(F.col("name") == k, F.col("value"))).alias(v) for k, v in TASK_FILES.items()))
+
+
 def newest(rows: DataFrame, key: str, preferred: Column) -> DataFrame:
     """One row per key: the preferred kind (least ``preferred``) and of that the newest (``modified``)."""
     order = Window.partitionBy(key).orderBy(preferred, F.desc("modified"), "path")

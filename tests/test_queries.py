@@ -4,10 +4,10 @@ import os
 
 import pytest
 
-from spanwright.plans import artifacts, checks, diagnosis, measurements, records, repositories, streams, support, telemetry, tokens, trajectories
+from spanwright.plans import artifacts, checks, diagnosis, exchange, measurements, records, repositories, streams, support, telemetry, tokens, trajectories
 from tests.oracles import DATA, same
 
-MODULES = (measurements, diagnosis, support, trajectories, tokens, telemetry, repositories, streams, records, checks, artifacts)
+MODULES = (measurements, diagnosis, support, trajectories, tokens, telemetry, repositories, streams, records, checks, artifacts, exchange)
 QUERIES = {n: q for m in MODULES for n, q in m.QUERIES.items()}
 SQL = {n: s for m in MODULES for n, s in m.SQL.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")

@@ -20,7 +20,7 @@ def folder(tmp_path_factory):
     (d / "t" / "one.json").write_text(json.dumps({"runId": "r1", "status": "success", "turns": turns}, indent=1))
     (d / "t" / "two.json").write_text(json.dumps({"status": "unknown", "turns": []}))
     (d / "t" / "three.json").write_text(json.dumps({"runId": "r3", "status": "failure", "turns": turns}))
-    (d / "manifest.json").write_text(json.dumps([{"path": "t/one.json", "task": "a"}, {"path": "t/two.json"}, {"path": "t/three.json", "outcome": "win", "model": "m"}]))
+    (d / "manifest.json").write_text(json.dumps([{"path": "t/one.json", "task": "a"}, {"path": "t/two.json"}, {"path": "t/three.json", "outcome": "win", "model": "m"}], indent=1))
     return d
 
 
