@@ -19,7 +19,7 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanwright.functions.telemetry import sample_micros
@@ -46,26 +46,41 @@ class SpikeModel:
     stay_spike: float = 0.5
     stay_stuck: float = 0.97
     power_over_limit: float = 1.3  # of the power limit: beyond it no GPU draws
+    leave_range: float = 0.5  # a value out of range is followed by one within as often as not
+    enter_range: float = 1e-4
     load_scale_pct: float = 6.0
+    load_slack_pct: float = 8.0  # how far the load may be from what power or heat tell of it
+    power_slack_pct: float = 6.0  # the load's own noise when power is judged by it
+    heat_slack_pct: float = 12.0  # heat follows the load slowly
+    trusted_load_pct: float = 20.0  # a load that agrees with power this well is the load
+    idle_below_pct: float = 8.0
+    saturated_above_pct: float = 96.0
+    below_idle: float = 0.8  # share of idle power that a powered GPU still draws
+    repeats_of_varying: float = 0.34  # a field whose normal values repeat less often than this varies
+    runs_to_judge: int = 8  # values from which that is told
+    held_share: float = 0.6  # a level held for this share of a day is normal, however few runs that takes
+    far: float = 4.0  # scales from which a repeated value is an excursion rather than the usual level
     mem_scale_share: float = 0.004
     power_scale_share: float = 0.012
 
 
-def _baseline(samples: DataFrame) -> DataFrame:
-    """One row per source with its normal behaviour by load level; its size is 21 levels a source."""
-    load = F.col("gpu_util_pct")
-    level = F.round(load / 5).cast("int")
-    by_level = (
-        samples.where(load.between(0, 100) & ~F.isnan(load) & (F.col("power_w") > 0) & ~F.isnan("power_w"))
-        .groupBy("endpoint", level.alias("level"))
-        .agg(
-            F.percentile_approx("power_w", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 200).alias("power"),
-            F.avg(F.nanvl("temperature_c", F.lit(None).cast("double"))).alias("heat"),
-            F.avg(F.nanvl("mem_util_pct", F.lit(None).cast("double"))).alias("traffic"),
-            F.count("*").alias("n"),
-        )
+def _learned(samples: DataFrame, chunk: Column) -> DataFrame:
+    """One row per source: its normal behaviour by load level (21 at most), and the chunks in which it has samples.
+
+    Both come from one pass over the samples.
+    """
+    load, power = F.col("gpu_util_pct"), F.col("power_w")
+    known = F.coalesce(load.between(0, 100) & ~F.isnan(load) & (power > 0) & ~F.isnan(power), F.lit(False))
+    seen = lambda c: F.when(known, F.nanvl(c, F.lit(None).cast("double")))
+    by_level = samples.groupBy("endpoint", F.when(known, F.round(load / 5).cast("int")).alias("level")).agg(
+        F.percentile_approx(F.when(known, power), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 200).alias("power"),
+        F.avg(seen("temperature_c")).alias("heat"),
+        F.avg(seen("mem_util_pct")).alias("traffic"),
+        F.count("*").alias("n"),
+        F.collect_set(chunk).alias("chunks"),
     )
-    return by_level.groupBy("endpoint").agg(F.collect_list(F.struct("level", "power", "heat", "traffic", "n")).alias("levels"))
+    levels = F.collect_list(F.when(F.col("level").isNotNull(), F.struct("level", "power", "heat", "traffic", "n")))
+    return by_level.groupBy("endpoint").agg(levels.alias("levels"), F.array_distinct(F.flatten(F.collect_list("chunks"))).alias("chunks"))
 
 
 def implausible_values(gpu_log: DataFrame, endpoints: DataFrame | None = None, model: SpikeModel = SpikeModel()) -> DataFrame:
@@ -88,14 +103,13 @@ def implausible_values(gpu_log: DataFrame, endpoints: DataFrame | None = None, m
     rows = copies.withColumn("own", F.col("us").isNull() | (F.col("chunk") == day))
 
     # heads carry each source's baseline into all of its chunks
-    heads = samples.select("endpoint", F.coalesce(day, apart).alias("chunk")).distinct()
-    known = _baseline(samples)
+    learned = _learned(samples, F.coalesce(day, apart))
     if endpoints is not None:
         bounds = endpoints.where(F.col("endpoint").isNotNull()).groupBy("endpoint").agg(F.max(F.col("power_limit_w").cast("double")).alias("limit_w"), F.max(F.col("mem_total_mib").cast("double")).alias("total_mib"))
-        heads = heads.join(bounds, "endpoint", "left")
+        learned = learned.join(bounds, "endpoint", "left")
     else:
-        heads = heads.withColumns({"limit_w": F.lit(None).cast("double"), "total_mib": F.lit(None).cast("double")})
-    heads = heads.join(known, "endpoint", "left").withColumn("head", F.lit(0))
+        learned = learned.withColumns({"limit_w": F.lit(None).cast("double"), "total_mib": F.lit(None).cast("double")})
+    heads = learned.select("endpoint", F.explode("chunks").alias("chunk"), "limit_w", "total_mib", "levels", F.lit(0).alias("head"))
     everything = heads.unionByName(rows.withColumn("head", F.lit(1)), allowMissingColumns=True)
     keyed = everything.repartition("endpoint", "chunk").sortWithinPartitions("endpoint", "chunk", "head", "us", "sample_id")
     options = asdict(model)
@@ -195,7 +209,7 @@ def _flag(table: pa.Table, model: SpikeModel) -> pa.Table | None:
         seen = ~np.isnan(both)
         by_heat = np.where(seen.any(0), np.where(seen, both, 0).sum(0) / np.maximum(seen.sum(0), 1), np.nan)
         near = np.fmin(np.abs(u - by_power), np.abs(u - by_heat))
-        deviance["gpu_util_pct"][s] = np.maximum(near - 8, 0) / model.load_scale_pct
+        deviance["gpu_util_pct"][s] = np.maximum(near - model.load_slack_pct, 0) / model.load_scale_pct
 
         def power_gap(load: np.ndarray, slack: float) -> np.ndarray:
             at = np.nan_to_num(load, nan=0.0)
@@ -203,10 +217,10 @@ def _flag(table: pa.Table, model: SpikeModel) -> pa.Table | None:
             scale = np.interp(at, np.arange(101.0), curve.scale)
             return np.where(np.isnan(load), np.nan, np.maximum(np.maximum(low - p, p - high), 0) / scale)
 
-        below_idle = np.nan_to_num(np.maximum(0.8 * curve.idle - p, 0) / (0.05 * curve.idle))
-        deviance["power_w"][s] = np.fmax(np.fmin(power_gap(u_ok, 6.0), power_gap(by_heat, 12.0)), below_idle)
-        load = np.where(np.isnan(u_ok), by_heat, np.where(np.abs(u_ok - by_power) < 20, u_ok, np.where(np.abs(u_ok - by_heat) < np.abs(by_power - by_heat), u_ok, by_power)))
-        busy[s] = np.where(np.isnan(load), -1, np.where(load < 8, 0, np.where(load > 96, 2, 1)))
+        below_idle = np.nan_to_num(np.maximum(model.below_idle * curve.idle - p, 0) / (0.05 * curve.idle))
+        deviance["power_w"][s] = np.fmax(np.fmin(power_gap(u_ok, model.power_slack_pct), power_gap(by_heat, model.heat_slack_pct)), below_idle)
+        load = np.where(np.isnan(u_ok), by_heat, np.where(np.abs(u_ok - by_power) < model.trusted_load_pct, u_ok, np.where(np.abs(u_ok - by_heat) < np.abs(by_power - by_heat), u_ok, by_power)))
+        busy[s] = np.where(np.isnan(load), -1, np.where(load < model.idle_below_pct, 0, np.where(load > model.saturated_above_pct, 2, 1)))
     deviance["mem_used_mib"] = _memory_deviance(v["mem_used_mib"], total, g, t, timed, first, last, model)
 
     out: list[tuple[np.ndarray, str, str | np.ndarray, np.ndarray]] = []
@@ -334,13 +348,13 @@ def _posterior(y: np.ndarray, deviance: np.ndarray, outside: np.ndarray, g: np.n
     counted = np.bincount(run_cell, np.minimum(length, 4), size)
     chance = (repeats + 0.02) / (counted + 1)
     rho = np.clip(chance, 0.01, 1)[cell]
-    varies = (rho < 0.34) & (counted[cell] >= 8)
+    varies = (rho < model.repeats_of_varying) & (counted[cell] >= model.runs_to_judge)
     if field == "gpu_util_pct":
         varies &= kind_of_load == 2  # idle at 0 % and saturation at 100 % are normal where the other fields agree
     if field == "mem_used_mib":
         # a level that is held for most of the day is held, however few runs that takes
         held = np.bincount(run_cell, np.where(length >= model.min_stuck, length, 0), size) / np.maximum(np.bincount(run_cell, length, size), 1)
-        varies &= held[cell] < 0.6
+        varies &= held[cell] < model.held_share
     rho = np.where(varies, rho, 0.5)
 
     d = np.nan_to_num(deviance, nan=0.0)
@@ -350,20 +364,20 @@ def _posterior(y: np.ndarray, deviance: np.ndarray, outside: np.ndarray, g: np.n
     e = np.empty((n, 4))
     e[:, NORMAL] = normal * repeat_normal
     e[:, SPIKE] = wide * np.where(again, rho, 1 - rho) * np.where(d > 0, 1.0, 1e-3)
-    e[:, STUCK] = np.where(varies & (again | ahead), np.where(d > 4, wide, 0.4 * np.exp(-0.5 * np.minimum(d, 4.0) ** 2) + wide), 1e-12) * np.where(again | ahead, 1.0, 1e-6)
+    e[:, STUCK] = np.where(varies & (again | ahead), np.where(d > model.far, wide, 0.4 * np.exp(-0.5 * np.minimum(d, model.far) ** 2) + wide), 1e-12) * np.where(again | ahead, 1.0, 1e-6)
     e[:, RANGE] = 1e-12
     e[outside] = np.array([1e-12, 1e-12, 1e-12, 1.0])
     e /= e.max(1, keepdims=True)
     e = np.maximum(e, 1e-30)
 
-    out = 1e-4
+    out = model.enter_range
     s, k = model.enter_spike, model.enter_stuck
     move = np.array(
         [
             [1 - s - k - out, s, k, out],
             [1 - model.stay_spike - k - out, model.stay_spike, k, out],
             [1 - model.stay_stuck - s - out, s, model.stay_stuck, out],
-            [0.5 - s - k, s, k, 0.5],
+            [model.leave_range - s - k, s, k, 1 - model.leave_range],
         ]
     )
     gamma = _forward_backward(e, g, move, np.array([1 - s - k - out, s, k, out]))
