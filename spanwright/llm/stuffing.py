@@ -47,8 +47,13 @@ PROMOTION = frozenset(
 WORD = re.compile(r"[^\W\d_]\w*|\d+(?:[.,]\d+)*")
 URL = re.compile(r"https?://[^\s\"'<>)\]]+", re.I)
 TAG = re.compile(r"(?<!\S)#\w{2,}")
-#: What parts a text into chunks; the second group ends a sentence.
-PARTS = re.compile(r"((?:[,;|•·»/\n\r\t、，]|\s[-–—*]\s)+|[.!?]+(?:\s|$)|[。！？]+)")
+#: What parts a text into chunks, or ends a sentence. Each pattern begins with one set of characters, which lets a search
+#: skip words; texts without a dash or star need not stop at blanks either, and part the same.
+_SEPARATORS = r",;|•·»/\n\r\t、，"
+_PARTED = rf"(?<=[{_SEPARATORS}])(?:[{_SEPARATORS}]|\s[-–—*]\s)*|(?<=[.!?])[.!?]*(?:\s|$)|(?<=[。！？])[。！？]*"
+PARTS = re.compile(rf"([{_SEPARATORS}.!?。！？](?:{_PARTED}))")
+PARTS_OR_DASHES = re.compile(rf"([{_SEPARATORS}.!?。！？\s](?:{_PARTED}|(?<=\s)[-–—*]\s(?:[{_SEPARATORS}]|\s[-–—*]\s)*))")
+DASHES = "-–—*"
 CODE_MARKS = "{}()[]=_<>"
 PRICE = re.compile(r"(?<![\w.])\d{1,5}[.,]\d\d(?![\w.])")
 CAPITAL = re.compile(r"[A-ZÀ-ÞА-ЯΑ-Ω]+")
@@ -96,12 +101,13 @@ def page_features(text: str) -> tuple[int, list[float]]:
     chunks = short = keyword = promo_chunks = sentences = stuffed = sentence_chars = plain_chars = 0
     seen: set[str] = set()
     begin = length = 0  # where the sentence begins among the words; its characters
-    parts = PARTS.split(plain.lower())
+    low = plain.lower()
+    parts = (PARTS_OR_DASHES if any(map(low.__contains__, DASHES)) else PARTS).split(low)
     parts.append("")
     for i in range(0, len(parts) - 1, 2):
         chunk, end = parts[i], parts[i + 1]
         length += len(chunk) + len(end)
-        w = find(chunk)
+        w = chunk.split() if chunk.replace(" ", "").isalpha() else find(chunk)  # letters and blanks only: the same words
         if w:
             chunks += 1
             words += w
@@ -120,7 +126,7 @@ def page_features(text: str) -> tuple[int, list[float]]:
                 sentences += 1
                 sentence = words[begin:]
                 repeats = False
-                if n <= 24:
+                if n <= 24 and len(set(sentence)) < n:
                     own = [x for x in sentence if len(x) > 2 and x not in GRAMMAR]
                     repeats = len(set(own)) < len(own)
                     stuffed += repeats
@@ -294,7 +300,7 @@ def _fit(features: DataFrame, reviews: DataFrame, model: StuffingModel) -> Bagge
     own = features.where(F.col("words") >= model.min_words)
     half = model.sample_rows // 2
     hand = own.join(votes.where(F.col("vote") != 0), "doc_id").select("features", (F.col("vote") > 0).cast("int").alias("label"), F.xxhash64("doc_id").alias("h")).orderBy("h").limit(half)
-    rest = own.select("features", F.lit(-1).alias("label"), F.xxhash64("doc_id").alias("h")).orderBy("h").limit(half)
+    rest = own.join(votes.where(F.col("vote") != 0), "doc_id", "left_anti").select("features", F.lit(-1).alias("label"), F.xxhash64("doc_id").alias("h")).orderBy("h").limit(half)
     sample = hand.unionByName(rest).toArrow()
     trees = BaggedTrees(model.trees, model.depth, model.leaf, model.seed)
     if not sample.num_rows:
