@@ -21,6 +21,7 @@ LEAKS = (
 )
 #: Fixed value: headers after which a description holds no problem statement.
 NOISE_HEADER = r"(?i)^\s*#{0,6}\s*(?:checklist|change\s*log|changelog|release\s*notes?|how\s+to\s+test|test\s*plan|tests?\s+added(?:\s*/?\s*updated)?|tests?\s+added\s+or\s+updated|testing|types?\s+of\s+changes?|pr\s+checklist|reviewer\s+notes?)\s*:?\s*$"
+#: Comments of descriptions, links that close an issue, and the longest body that is shown.
 COMMENT = r"(?s)<!--.*?-->"
 LINK = r"(?i)\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\s+(?:\[?#(\d+)|https?://(?:\w+\.)?github\.com/([\w.-]+)/([\w.-]+)/issues/(\d+))"
 BODY_LIMIT = 4000
@@ -86,6 +87,7 @@ def unquoted_path(path: Column) -> Column:
 
 def diff_path(block: Column, side: str) -> Column:
     """Path of side ``a`` or ``b`` of a block's header, without quotes and escapes."""
+    # git's header of a file, quoted where a name needs escapes
     header = r'(?m)\Adiff --git (?:"a/((?:[^"\\]|\\.)+)"|a/(.+?)) (?:"b/((?:[^"\\]|\\.)+)"|b/(.+?))$'
     quoted, plain = (1, 2) if side == "a" else (3, 4)
     return F.coalesce(unquoted_path(F.nullif(F.regexp_extract(block, header, quoted), F.lit(""))), F.nullif(F.regexp_extract(block, header, plain), F.lit("")))

@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanwright.functions.stats import log_sum_exp
-
-#: Tools whose call carries a shell command, and its keys.
-EXEC_TOOLS = ("bash", "shell", "run_terminal_cmd", "execute")
-
+from spanwright.operators.trajectory import EXEC_TOOLS
 
 def discovered_trials(*scans: DataFrame) -> DataFrame:
     """Trial folders (trial) that any scan found, each once, with how many kinds of file each has."""

@@ -19,6 +19,8 @@ NON_BUG_TITLE = (
 )
 #: Fixed value: conventional types of commits that are no fixes.
 NON_BUG_TYPE = r"(?i)^(?:chore|docs|feat|refactor|style|test|ci|build|perf|revert)(?:\([^)]+\))?!?:"
+#: Fixed value: the type that a commit's subject begins with.
+COMMIT_TYPE = r"(?i)^(?:fix|feat|chore|docs|refactor|test|perf|build|ci|style|revert)(?:\([^)]+\))?!?:\s*"
 #: What shows that a commit fixes a bug.
 FIX_TYPE = r"(?i)^fix(?:\([^)]+\))?!?:"
 CLOSES = r"(?i)\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\s+\[?#\d+"
@@ -74,6 +76,7 @@ def commit_reason(min_words: int = 5, min_problem_words: int = 0, bugfix_only: b
 
 def lite_reason(body: Column, n_source: Column, max_files: int = 50, light: bool = True) -> Column:
     """Why a pull request touches too much, or is too much for a light task; null to keep it."""
+    # fixed values: the names and patterns of the rules
     low = F.lower(F.coalesce(body, F.lit("")))
     asked = F.lit(light)
     return (
@@ -139,7 +142,7 @@ def pr_sequence(prs: DataFrame, repo: Column, min_words: int = 0, max_files: int
 
 def commit_instruction(subject: Column, body: Column) -> Column:
     """What a task tells of a commit: its message without its type, template sections and references to the fix."""
-    title = F.regexp_replace(F.coalesce(subject, F.lit("")), r"(?i)^(?:fix|feat|chore|docs|refactor|test|perf|build|ci|style|revert)(?:\([^)]+\))?!?:\s*", "")
+    title = F.regexp_replace(F.coalesce(subject, F.lit("")), COMMIT_TYPE, "")
     return F.concat(F.lit("# Issue\n\n"), strip_info_leak(title), F.lit("\n\n"), strip_info_leak(reflowed(body)))
 
 

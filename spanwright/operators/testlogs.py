@@ -46,6 +46,7 @@ def _mapped(logs: DataFrame, pattern: str, name_group: int, status_group: int, s
     return _last(found.where(F.col("status").isNotNull()))
 
 
+# The shapes of lines, here and below, are fixed values: the formats that the runners write.
 def go_status(logs: DataFrame) -> DataFrame:
     """Statuses of ``go test -v`` output, subtests included."""
     return _mapped(logs, r"(?U)^\s*---\s+(PASS|FAIL|SKIP):\s+(\S+)", 2, 1, {"PASS": PASSED, "FAIL": FAILED, "SKIP": SKIPPED})
