@@ -219,6 +219,8 @@ class BaggedTrees:
 
     def fit(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> BaggedTrees:
         rng = np.random.default_rng(self.seed)
+        # leaves larger than half the rarer class could never hold it apart
+        self.leaf = max(1, min(self.leaf, int(min(y.sum(), len(y) - y.sum())) // 2))
         for _ in range(self.count):
             rows = rng.integers(0, len(y), len(y))
             self.nodes.append([])
